@@ -6,7 +6,7 @@ from importlib import import_module
 
 from vitalspan.catalog.base import ORACLES, QUERIES, Query
 
-MODULES = ["series"]
+MODULES = ["series", "cohort", "stats"]
 
 
 def _load() -> None:

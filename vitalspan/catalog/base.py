@@ -41,3 +41,13 @@ EVENT_GAP = 6 * HOUR
 EVENT_EPISODE_GAP = 2 * DAY
 EVENT_WINDOW = 12 * HOUR
 EVENT_SALT = "salt"
+
+
+def as_text(df: DataFrame, *names: str) -> DataFrame:
+    """Dates and nullable flags as text, which compares the same in every engine."""
+    return df.withColumns({n: F.col(n).cast("string") for n in names})
+
+
+def as_double(df: DataFrame, *names: str) -> DataFrame:
+    """Nullable counts as double, which compares the same in every engine."""
+    return df.withColumns({n: F.col(n).cast("double") for n in names})
