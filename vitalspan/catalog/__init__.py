@@ -6,7 +6,7 @@ from importlib import import_module
 
 from vitalspan.catalog.base import ORACLES, QUERIES, Query
 
-MODULES = ["series", "cohort", "stats"]
+MODULES = ["series", "cohort", "stats", "parsing"]
 
 
 def _load() -> None:
