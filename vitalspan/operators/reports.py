@@ -87,3 +87,9 @@ def modal_spacing(rows: DataFrame, subject: str, ts: str, cell_seconds: float =
 
 def distinct_values(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.count_distinct(column).alias("n_distinct"))
+
+
+def worst_sources(failures: DataFrame, n: int, source: str = "source") -> DataFrame:
+    """The sources with most failures, names in order on ties."""
+    counts = failures.groupBy(source).agg(F.count(F.lit(1)).alias("n_failures"))
+    return counts.orderBy(F.col("n_failures").desc(), source).limit(n)
