@@ -56,8 +56,10 @@ def toco_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey", f"{TEXT64} AS text64"
     )
-    level = F.round(signal.toco_level(F.col("text64")).cast("double"), 4)
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", level.alias("toco"))
+    levels = signal.with_toco_level(rows, "text64", "toco")
+    return levels.select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("toco").cast("double"), 4).alias("toco")
+    )
 
 
 @query(

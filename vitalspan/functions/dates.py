@@ -11,10 +11,8 @@ DAY_SECONDS = 86_400
 
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970-01-01 of a zone-less timestamp, whatever the session zone."""
-    day = F.unix_date(ts.cast("date")).cast("bigint")
-    clock = (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("bigint")
-    second = (F.extract(F.lit("SECOND"), ts) * F.lit(MICROS)).cast("bigint")
-    return day * F.lit(DAY_SECONDS * MICROS) + clock * F.lit(MICROS) + second
+    since = ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return (since.cast("interval second").cast("decimal(18,6)") * F.lit(MICROS)).cast("bigint")
 
 
 def micros_between(start: Column, end: Column) -> Column:
@@ -58,7 +56,7 @@ def date_with_seconds(day: Column, seconds: Column) -> Column:
 
 def completed_years(born: Column, at: Column) -> Column:
     """Age in completed years: calendar-year difference, one less before the birthday."""
-    before_birthday = F.date_format(at, "MM-dd") < F.date_format(born, "MM-dd")
+    before_birthday = F.month(at) * 100 + F.day(at) < F.month(born) * 100 + F.day(born)
     return F.year(at) - F.year(born) - before_birthday.cast("int")
 
 
@@ -71,7 +69,7 @@ def date_from_digits(digits: Column) -> Column:
     """First eight digits read as yyyyMMdd; impossible dates give NULL."""
     head = F.substring(digits, 1, 8)
     dashed = F.concat_ws("-", F.substring(head, 1, 4), F.substring(head, 5, 2), F.substring(head, 7, 2))
-    return F.when(F.length(head) == 8, F.try_to_date(dashed, "yyyy-MM-dd"))
+    return F.when(F.length(head) == 8, dashed.try_cast("date"))
 
 
 def clock_text_to_timestamp(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sample layout, plausible tocography bytes and plausible heart rates.
@@ -23,22 +23,26 @@ def mean_positive(samples: Sequence[Column], integral: bool = True) -> Column:
 
     Integer samples keep integer division: the fraction is dropped.
     """
-    kept = F.filter(F.array(*samples), lambda x: x > 0)
     kind = "bigint" if integral else "double"
-    total = F.aggregate(kept, F.lit(0).cast(kind), lambda acc, x: acc + x.cast(kind))
-    n = F.size(kept)
-    mean = F.call_function("div", total, n.cast("bigint")) if integral else total / n
+    n = sum((F.when(s > 0, 1).otherwise(0) for s in samples), F.lit(0)).cast(kind)
+    total = sum((F.when(s > 0, s).otherwise(0).cast(kind) for s in samples), F.lit(0).cast(kind))
+    mean = F.call_function("div", total, n) if integral else total / n
     return F.when(n > 0, mean).otherwise(F.lit(0)).cast("float")
 
 
-def base64_bytes(text: Column) -> Column:
-    """Byte values of base64 text; NULL when the padding is wrong.
+def base64_payload(text: Column) -> Column:
+    """Decoded bytes of base64 text; NULL when the padding is wrong.
 
     Characters outside the alphabet are ignored before decoding.
     """
     kept = F.regexp_replace(text, "[^A-Za-z0-9+/=]", "")
     readable = (F.length(kept) % 4 == 0) & kept.rlike("^[A-Za-z0-9+/]*={0,2}$")
-    digits = F.hex(F.try_to_binary(F.when(readable, kept), F.lit("base64")))
+    return F.try_to_binary(F.when(readable, kept), F.lit("base64"))
+
+
+def payload_bytes(payload: Column) -> Column:
+    """Byte values of binary data as an array."""
+    digits = F.hex(payload)
     pairs = F.transform(
         F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2)),
         lambda i: F.conv(F.substr(digits, i, F.lit(2)), 16, 10).cast("int"),
@@ -51,18 +55,37 @@ def _mean(values: Column) -> Column:
     return F.when(F.size(values) > 0, total / F.size(values))
 
 
-def toco_level(text: Column) -> Column:
-    """Mean of the plausible bytes, else of all bytes, else 0."""
-    values = base64_bytes(text)
+def _word(payload: Column) -> Column:
+    """A payload of four bytes as one number, NULL for other lengths."""
+    return F.when(F.length(payload) == SAMPLES_PER_SECOND, F.conv(F.hex(payload), 16, 10).cast("bigint"))
+
+
+def _four_bytes(word: Column) -> list[Column]:
+    places = reversed(range(SAMPLES_PER_SECOND))
+    return [F.shiftright(word, 8 * place).bitwiseAND(F.lit(255)) for place in places]
+
+
+def with_toco_level(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the mean of the plausible bytes of a base64 cell, else of all its bytes, else 0.
+
+    The usual payload of four bytes is read as one number; other lengths go through arrays.
+    """
+    decoded = rows.withColumn("_payload", base64_payload(F.col(text))).withColumn("_word", _word(F.col("_payload")))
+    four = _four_bytes(F.col("_word"))
+    fits = [b.between(TOCO_LOW, TOCO_HIGH) for b in four]
+    n = sum((F.when(ok, 1).otherwise(0) for ok in fits), F.lit(0))
+    chosen = sum((F.when(ok, b).otherwise(0) for ok, b in zip(fits, four, strict=True)), F.lit(0))
+    of_four = F.when(n > 0, chosen / n).otherwise(sum(four, F.lit(0)) / SAMPLES_PER_SECOND)
+    values = payload_bytes(F.col("_payload"))
     plausible = F.filter(values, lambda x: x.between(TOCO_LOW, TOCO_HIGH))
-    return F.coalesce(_mean(plausible), _mean(values), F.lit(0.0)).cast("float")
+    of_any = F.coalesce(_mean(plausible), _mean(values), F.lit(0.0))
+    level = F.when(F.col("_word").isNotNull(), of_four).otherwise(of_any).cast("float")
+    return decoded.select(*rows.columns, level.alias(name))
 
 
 def toco_samples(text: Column) -> Column:
     """The four byte samples of one second; four NULLs for any other payload."""
-    values = base64_bytes(text)
-    missing = F.array(*[F.lit(None).cast("double")] * SAMPLES_PER_SECOND)
-    return F.when(F.size(values) == SAMPLES_PER_SECOND, values.cast("array<double>")).otherwise(missing)
+    return F.array(*[b.cast("double") for b in _four_bytes(_word(base64_payload(text)))])
 
 
 def zero_as_missing(c: Column) -> Column:

@@ -18,13 +18,14 @@ def clean_text(c: Column) -> Column:
 
 def comma_double(c: Column) -> Column:
     """Decimal comma or point to double; other text gives NULL."""
-    text = F.replace(clean_text(c), F.lit(","), F.lit("."))
+    text = F.translate(F.trim(c.cast("string")), ",", ".")
     return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
 
 
 def comma_int(c: Column) -> Column:
     """Decimal text to int, rounding half away from zero."""
-    return F.round(comma_double(c)).try_cast("int")
+    number = comma_double(c)
+    return (F.signum(number) * F.floor(F.abs(number) + 0.5)).try_cast("int")
 
 
 def comma_int_truncated(c: Column) -> Column:
@@ -34,13 +35,13 @@ def comma_int_truncated(c: Column) -> Column:
 
 
 def text_date(c: Column) -> Column:
-    text = clean_text(c)
+    text = F.trim(c.cast("string"))
     return F.when(text.rlike(DATE_SHAPE), text.try_cast("date"))
 
 
 def yes_no(c: Column) -> Column:
     """Swedish yes/no words to boolean, anything else NULL."""
-    word = F.lower(clean_text(c))
+    word = F.lower(F.trim(c.cast("string")))
     return F.when(word == "ja", F.lit(True)).when(word == "nej", F.lit(False))
 
 
@@ -52,13 +53,13 @@ def tidy_boolean(c: Column) -> Column:
 
 def mentions(c: Column, fragment: str) -> Column:
     """Case-insensitive fragment test after unifying dash characters; never NULL."""
-    plain = F.translate(F.coalesce(clean_text(c), F.lit("")), "–−", "--")
+    plain = F.translate(F.coalesce(c.cast("string"), F.lit("")), "–−", "--")
     return F.contains(F.lower(plain), F.lit(fragment))
 
 
 def code_list(c: Column) -> Column:
     """Upper-case code list without white space; a missing cell is an empty list."""
-    return F.regexp_replace(F.upper(F.coalesce(clean_text(c), F.lit(""))), r"\s+", "")
+    return F.regexp_replace(F.upper(F.coalesce(c.cast("string"), F.lit(""))), r"\s+", "")
 
 
 def has_code_prefix(codes: Column, prefixes: Sequence[str], delimiter: str = ",") -> Column:
@@ -66,9 +67,14 @@ def has_code_prefix(codes: Column, prefixes: Sequence[str], delimiter: str = ","
     return codes.rlike(f"(^|{delimiter})({'|'.join(prefixes)})[A-Z0-9]*({delimiter}|$)")
 
 
+def lists_code(entries: Column, wanted: Sequence[str]) -> Column:
+    """Any array entry that equals one of the wanted codes."""
+    return F.arrays_overlap(entries, F.array(*[F.lit(w) for w in wanted]))
+
+
 def has_code(codes: Column, wanted: Sequence[str], delimiter: str = ",") -> Column:
     """Any list entry that equals one of the wanted codes."""
-    return F.arrays_overlap(F.split(codes, delimiter), F.array(*[F.lit(w) for w in wanted]))
+    return lists_code(F.split(codes, delimiter), wanted)
 
 
 def join_key(c: Column) -> Column:

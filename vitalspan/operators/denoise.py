@@ -150,37 +150,39 @@ def interpolate_short(
 def kalman_smooth(rows: DataFrame, key: str, rate: str) -> DataFrame:
     """Scalar Kalman filter over the grid of each subject; NULL where filtered.
 
-    The estimate depends on all readings before it, so each subject's grid (a fixed
-    number of points) is one group of a grouped map.
+    The estimate depends on all readings before it.  The grid of a subject (a fixed number
+    of points) becomes one array, and a batch of subjects is smoothed step by step at once.
     """
-    columns = rows.columns
     q, r, first = PROCESS_VARIANCE, MEASUREMENT_VARIANCE, FIRST_VARIANCE
 
-    def smooth(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("position")
-        usable = ~frame["filtered"].astype(bool) & frame[rate].notna()
-        out: list[float | None] = []
-        estimate, variance = None, first
-        for value, ok in zip(frame[rate], usable, strict=True):
-            if estimate is not None:
-                variance += q
-            if not ok:
-                out.append(None)
-                continue
-            if estimate is None:
-                estimate = float(value)
-            else:
-                gain = variance / (variance + r)
-                estimate += gain * (float(value) - estimate)
-                variance *= 1.0 - gain
-            out.append(estimate)
-        frame[rate] = pd.array(out, dtype="Float64")
-        return frame[columns]
-
-    schema = T.StructType(
-        [T.StructField(f.name, T.DoubleType() if f.name == rate else f.dataType, True) for f in rows.schema.fields]
-    )
-    return rows.groupBy(key).applyInPandas(smooth, schema)
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def smooth(series: pd.Series) -> pd.Series:
+        import numpy as np
+        import pandas as pd
+
+        grid = np.vstack([np.asarray(s, dtype=float) for s in series]) if len(series) else np.empty((0, 0))
+        out = np.full_like(grid, np.nan)
+        estimate = np.full(len(grid), np.nan)
+        variance = np.full(len(grid), first)
+        for step in range(grid.shape[1]):
+            value = grid[:, step]
+            begun, seen = ~np.isnan(estimate), ~np.isnan(value)
+            variance = np.where(begun, variance + q, variance)
+            gain = variance / (variance + r)
+            estimate = np.where(seen, np.where(begun, estimate + gain * (value - estimate), value), estimate)
+            variance = np.where(seen & begun, (1.0 - gain) * variance, variance)
+            out[:, step] = np.where(seen, estimate, np.nan)
+        return pd.Series(list(out))
+
+    others = [c for c in rows.columns if c not in (key, rate)]
+    item = F.struct(F.col(POSITION).alias("_at"), *others, _usable(rate).cast("double").alias("_value"))
+    grids = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_grid"))
+    smoothed = grids.select(key, "_grid", smooth(F.col("_grid._value")).alias("_smooth"))
+    steps = smoothed.select(key, F.explode(F.arrays_zip("_grid", "_smooth")).alias("_step"))
+    value = F.col("_step._smooth")
+    return steps.select(
+        key, *[F.col(f"_step._grid.{c}").alias(c) for c in others], F.when(~F.isnan(value), value).alias(rate)
+    ).select(*rows.columns)
 
 
 def keep_complete(rows: DataFrame, key: str, min_share: float = 0.5) -> DataFrame:

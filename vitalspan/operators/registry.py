@@ -72,8 +72,12 @@ def _any(flags: list[Column]) -> Column:
 
 
 def indicator(rules: list[tuple[str, str, list[str]]]) -> Column:
-    tests = {"prefix": text.has_code_prefix, "exact": text.has_code}
-    return _any([tests[kind](F.col(f"_{source}"), codes) for source, kind, codes in rules])
+    def test(source: str, kind: str, codes: list[str]) -> Column:
+        if kind == "prefix":
+            return text.has_code_prefix(F.col(f"_{source}"), codes)
+        return text.lists_code(F.col(f"_{source}_list"), codes)
+
+    return _any([test(*rule) for rule in rules])
 
 
 def parse_registry(raw: DataFrame) -> DataFrame:
@@ -96,6 +100,7 @@ def parse_registry(raw: DataFrame) -> DataFrame:
             "_birth_seconds": text.comma_int(c("forlossningstid_fv1")),
             "_labour_seconds": text.comma_int(c("etablerade_varkar_tid")),
             "_mother_born": dates.date_from_digits(c("_digits")),
+            **{f"_{short}_list": F.split(c(f"_{short}"), ",") for short in CODE_SOURCES},
         }
     ).withColumns(
         {

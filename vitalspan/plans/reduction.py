@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.config import EXTRA_COLUMNS, ReductionSettings
 from vitalspan.functions.keys import salted_key
-from vitalspan.functions.signal import mean_positive, toco_level
+from vitalspan.functions.signal import mean_positive, with_toco_level
 from vitalspan.functions.text import suffix_bucket
 from vitalspan.operators import dedup, quality, sessions
 from vitalspan.sources import sinks, tables
@@ -25,15 +25,18 @@ def derive_signals(raw: DataFrame) -> DataFrame:
     samples = [f"Hr1_{i}" for i in range(4)]
     kinds = dict(raw.dtypes)
     integral = all(kinds[c] in INTEGRAL_TYPES for c in samples)
-    toco = toco_level(F.col("Toco_Values")) if "Toco_Values" in kinds else F.lit(0.0).cast("float")
     present = [c for c in raw.columns if c not in ("RegistrationID", *EXTRA_COLUMNS)]
     wide = tables.with_columns_or_null(raw, ["RegistrationID", *EXTRA_COLUMNS, *present])
+    if "Toco_Values" in kinds:
+        wide = with_toco_level(wide, "Toco_Values", "toco")
+    else:
+        wide = wide.withColumn("toco", F.lit(0.0).cast("float"))
     return wide.select(
         "Timestamp",
         "PatientID",
         "RegistrationID",
         mean_positive([F.col(c) for c in samples], integral).alias("FHR"),
-        toco.alias("toco"),
+        "toco",
         *EXTRA_COLUMNS,
     )
 

@@ -13,6 +13,8 @@ def get_spark(app: str = "vitalspan", master: str | None = None, **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Larger generated methods are never compiled by the JVM's JIT.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     for name, value in {**base, **conf}.items():
         builder = builder.config(name, value)
