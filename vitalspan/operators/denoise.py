@@ -65,14 +65,23 @@ def grid_align(
     placed = join_per_key(merged, ends, key, spread_by=[ts]).withColumn(
         "_back", epoch_micros(F.col("_end")) - epoch_micros(F.col(ts))
     )
-    on_grid = placed.where((F.col("_back") % step == 0) & F.col("_back").between(0, (points - 1) * step))
-    readings = on_grid.select(
-        key, (F.lit(points - 1) - F.col("_back") / step).cast("int").alias(POSITION), rate, *others
+    last = points - 1
+    on_grid = placed.where((F.col("_back") % step == 0) & F.col("_back").between(0, last * step))
+    signals = [rate, *others]
+
+    def point(position: Column, present: Column) -> Column:
+        return F.struct(position.alias(POSITION), *[F.when(present, F.col(c)).alias(c) for c in signals])
+
+    # Exactly one row of each subject, its last plausible reading, stands for the whole grid.
+    own = (F.lit(last) - F.col("_back") / step).cast("int")
+    whole_grid = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda p: point(p, p == last))
+    spread = F.when(F.col("_back") == 0, whole_grid).otherwise(F.array(point(own, F.lit(True))))
+    points_of = on_grid.select(key, "_end", F.explode(spread).alias("_point")).select(key, "_end", "_point.*")
+    full = points_of.groupBy(key, POSITION).agg(
+        F.max("_end").alias("_end"), *[F.max(c).alias(c) for c in signals]
     )
-    grid = ends.select(key, "_end", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias(POSITION))
-    instant = plus_seconds(F.col("_end"), (F.col(POSITION) - (points - 1)) * F.lit(step_seconds))
-    full = grid.withColumn(ts, instant).drop("_end").join(readings, [key, POSITION], "left")
-    return full.withColumn(FILTERED, implausible)
+    instant = plus_seconds(F.col("_end"), (F.col(POSITION) - last) * F.lit(step_seconds))
+    return full.select(key, POSITION, instant.alias(ts), *signals, implausible.alias(FILTERED))
 
 
 def _by_position(key: str) -> Window:

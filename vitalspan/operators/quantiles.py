@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalspan.operators.skew import join_per_key
+from vitalspan.operators.skew import join_per_key, join_single_row
 
 ACCURACY = 10_000
 MARGIN = 0.0005
@@ -48,7 +48,10 @@ def exact_quantiles(
             for name, (c, p) in wanted.items()
         ],
     )
-    located = join_per_key(base, sketch, keys, spread_by=spread)
+    if group:
+        located = join_per_key(base, sketch, keys, spread_by=spread)
+    else:
+        located = join_single_row(base, sketch, "_all")
 
     def bracketed(index: int, name: str) -> Column:
         column, p = wanted[name]

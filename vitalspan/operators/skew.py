@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 16
+FEWEST_SALTS, MOST_SALTS, PARTITIONS_PER_SALT = 4, 256, 64
+
+
+def salt_count(df: DataFrame) -> int:
+    """Salts that fit the session: one per 64 shuffle partitions, within 4 and 256."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(FEWEST_SALTS, min(MOST_SALTS, partitions // PARTITIONS_PER_SALT))
 
 
 def join_per_key(
@@ -16,15 +22,22 @@ def join_per_key(
     key: str | Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join rows to a one-row-per-key table with the hot keys spread over salts.
 
     The salt of a row is a hash of ``spread_by``, so it is the same when a task is
     run again; the per-key side is repeated once per salt.  Spark still broadcasts
-    the per-key side by itself when its measured size is below the threshold.
+    the per-key side by itself when its measured size is below the threshold, and
+    still splits a partition that stays too large.
     """
     key = [key] if isinstance(key, str) else list(key)
+    salts = salts or salt_count(rows)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*key, "_salt"], how).drop("_salt")
+
+
+def join_single_row(rows: DataFrame, single: DataFrame, key: str) -> DataFrame:
+    """Join rows to a table of exactly one row, which is always small enough to broadcast."""
+    return rows.join(F.broadcast(single), key)
