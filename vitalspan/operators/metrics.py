@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.functions.arrays import clip
 from vitalspan.operators.cells import running_totals
-from vitalspan.operators.skew import join_per_key, join_single_row
+from vitalspan.operators.skew import join_per_key, with_single_row
 
 SCORE_BUCKETS = 4096
 MAX_THRESHOLDS = 500
@@ -97,7 +97,7 @@ def best_f1_threshold(rows: DataFrame, label: str, score: str, group: Sequence[s
         clipped = clipped.withColumn("_all", F.lit(0))
     counts = score_counts(clipped, keys, label, "_score")
     totals = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_scores"), F.sum("pos").alias("_p"))
-    known = join_per_key(counts, totals, keys, spread_by=["score"]) if group else join_single_row(counts, totals, "_all")
+    known = join_per_key(counts, totals, keys, spread_by=["score"]) if group else with_single_row(counts, totals.drop("_all"))
     on_grid = F.col("_n_scores") > MAX_THRESHOLDS
     candidates = known.groupBy(
         *keys,

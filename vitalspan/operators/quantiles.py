@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalspan.operators.skew import join_per_key, join_single_row
+from vitalspan.operators.skew import join_per_key, with_single_row
 
 ACCURACY = 10_000
 MARGIN = 0.0005
@@ -51,7 +51,7 @@ def exact_quantiles(
     if group:
         located = join_per_key(base, sketch, keys, spread_by=spread)
     else:
-        located = join_single_row(base, sketch, "_all")
+        located = with_single_row(base, sketch.drop("_all"))
 
     def bracketed(index: int, name: str) -> Column:
         column, p = wanted[name]

@@ -38,6 +38,7 @@ def join_per_key(
     return salted.join(repeated, [*key, "_salt"], how).drop("_salt")
 
 
-def join_single_row(rows: DataFrame, single: DataFrame, key: str) -> DataFrame:
-    """Join rows to a table of exactly one row, which is always small enough to broadcast."""
-    return rows.join(F.broadcast(single), key)
+def with_single_row(rows: DataFrame, single: DataFrame) -> DataFrame:
+    """Add the columns of a table of exactly one row (a scalar subquery, no join)."""
+    packed = single.select(F.struct("*").alias("_single")).scalar()
+    return rows.withColumn("_single", packed).select(*rows.columns, "_single.*")
