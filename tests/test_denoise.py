@@ -144,3 +144,11 @@ def test_daily_partitions(spark, tmp_path):
     patients.partition_by_day(raw, str(tmp_path / "p"), "2014-12-31", ["PatientID", "Timestamp"])
     found = spark.read.parquet(str(tmp_path / "p")).collect()
     assert {(r["PatientID"], r["patient_bucket"], str(r["ctg_date"])) for r in found} == {("19800101-0300", 44, "2020-01-01"), ("bad", -1, "2020-01-01")}
+
+
+def test_value_folders(spark, tmp_path):
+    frame = spark.createDataFrame([(1,)], "x int")
+    frame.write.parquet(str(tmp_path / "v" / "2020-01-02" / "7"))
+    frame.write.parquet(str(tmp_path / "v" / "2020-01-03" / "8"))
+    found = tables.read_value_folders(spark, str(tmp_path / "v"), ["ctg_date", "patient_bucket"]).collect()
+    assert {tuple(r) for r in found} == {(1, "2020-01-02", "7"), (1, "2020-01-03", "8")}

@@ -173,11 +173,16 @@ def order_registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return registry, matching.recording_map(joined, "subject", "person", "day")
 
 
-@query("or_date_match", f"WITH {MATCH_SQL} SELECT o_orderkey, person, CAST(birth_day AS VARCHAR) AS birth_day, subject, CAST(day AS VARCHAR) AS day FROM pairs")
+@query(
+    "or_date_match",
+    f"""WITH {MATCH_SQL} SELECT o_orderkey, person, CAST(birth_day AS VARCHAR) AS birth_day, CAST(day AS VARCHAR) AS day,
+        count(*) AS n_recordings, min(subject) AS subject FROM pairs GROUP BY 1, 2, 3, 4""",
+)
 def or_date_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry, recordings = order_registry(spark, sf_dir)
-    pairs = matching.matching_pairs(registry, recordings, "person", "birth_day", "day")
-    return as_text(pairs.select("o_orderkey", "person", "birth_day", "subject", "day"), "birth_day", "day")
+    found = matching.matches_per_day(registry, recordings, "person", "birth_day", "subject", "day")
+    columns = found.select("o_orderkey", "person", "birth_day", "day", "n_recordings", "subject")
+    return as_text(columns, "birth_day", "day")
 
 
 @query(

@@ -265,7 +265,8 @@ def short_sequence_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "length_summary",
-    """SELECT count(*) AS n_subjects, count(*) FILTER (WHERE n < 64) AS n_dropped, min(n) AS min_rows, max(n) AS max_rows
+    """SELECT count(*) AS n_subjects, count(*) FILTER (WHERE n < 64) AS n_dropped, min(n) AS min_rows, max(n) AS max_rows,
+        median(n) AS median_rows
     FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)""",
 )
 def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,18 @@ def recording_map(rows: DataFrame, subject: str, person: str, day: str) -> DataF
     return rows.select(subject, person, day).distinct()
 
 
-def matching_pairs(
-    registry: DataFrame, recordings: DataFrame, person: str, birth_day: str, day: str
+def matches_per_day(
+    registry: DataFrame, recordings: DataFrame, person: str, birth_day: str, subject: str, day: str
 ) -> DataFrame:
-    """Registry rows with each recording of the same person on the birth day or the day before."""
+    """Registry rows with each day, birth day or the day before, on which the person was recorded.
+
+    Recordings are counted per (person, day) first, so a busy day gives one row with its count.
+    """
+    per_day = recordings.groupBy(person, day).agg(
+        F.count(F.lit(1)).alias("n_recordings"), F.min(subject).alias(subject)
+    )
     wanted = F.explode(F.array(F.col(birth_day), F.date_sub(F.col(birth_day), 1)))
-    return registry.withColumn(day, wanted).join(recordings, [person, day])
+    return registry.withColumn(day, wanted).join(per_day, [person, day])
 
 
 def matches_per_row(

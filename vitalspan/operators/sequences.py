@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from vitalspan.config import SequenceSettings
 from vitalspan.functions.signal import level_flag, zero_as_missing
 from vitalspan.operators.cells import CELL, with_cell
-from vitalspan.operators.skew import join_per_key
+from vitalspan.operators.quantiles import exact_quantiles
+from vitalspan.operators.skew import join_per_key, with_single_row
 
 
 def tail_rows(
@@ -120,13 +121,15 @@ def split_sequences(rows: DataFrame, splits: DataFrame, split: str, key: str = "
 
 def length_summary(lengths: DataFrame, length: str, steps: int, pad_short: bool) -> DataFrame:
     """Counts of kept and dropped subjects and the spread of their row counts."""
-    dropped = F.count_if(F.col(length) < steps) if not pad_short else F.lit(0).cast("bigint")
-    return lengths.agg(
+    dropped = F.count_if(F.col(length) < steps) if not pad_short else F.count(F.lit(None))
+    counts = lengths.agg(
         F.count(F.lit(1)).alias("n_subjects"),
         dropped.alias("n_dropped"),
         F.min(length).alias("min_rows"),
         F.max(length).alias("max_rows"),
     )
+    middle = exact_quantiles(lengths, [], {"median_rows": (length, 0.5)})
+    return with_single_row(counts, middle)
 
 
 def signal_moments(sequences: DataFrame, channels: Sequence[str]) -> DataFrame:

@@ -86,12 +86,17 @@ def add_anchor_date(rows: DataFrame) -> DataFrame:
 
 
 def reduce_series(series: DataFrame, settings: ReductionSettings) -> DataFrame:
-    """Derived series to dated, voted, quality-filtered rows in one job.
+    """Derived series to dated, voted, quality-filtered rows in one job."""
+    return reduce_windows(closing_session_rows(series, settings), settings)
+
+
+def reduce_windows(rows: DataFrame, settings: ReductionSettings) -> DataFrame:
+    """Closing windows to dated, voted, quality-filtered rows.
 
     A subject holds at most one window of seconds once voted, so the per-subject
     filters are windows over a bounded group and share a single shuffle.
     """
-    rows = closing_session_rows(series, settings).dropna(subset=["BabyID"])
+    rows = rows.dropna(subset=["BabyID"])
     n = F.count(F.lit(1)).alias("_copies")
     voted = rows.groupBy("BabyID", "Timestamp").agg(
         F.min("PatientID").alias("PatientID"),
