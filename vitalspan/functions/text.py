@@ -22,10 +22,14 @@ def comma_double(c: Column) -> Column:
     return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
 
 
+def rounded_int(number: Column) -> Column:
+    """Number to int, rounding half away from zero."""
+    return (F.signum(number) * F.floor(F.abs(number) + 0.5)).try_cast("int")
+
+
 def comma_int(c: Column) -> Column:
     """Decimal text to int, rounding half away from zero."""
-    number = comma_double(c)
-    return (F.signum(number) * F.floor(F.abs(number) + 0.5)).try_cast("int")
+    return rounded_int(comma_double(c))
 
 
 def comma_int_truncated(c: Column) -> Column:
@@ -67,14 +71,9 @@ def has_code_prefix(codes: Column, prefixes: Sequence[str], delimiter: str = ","
     return codes.rlike(f"(^|{delimiter})({'|'.join(prefixes)})[A-Z0-9]*({delimiter}|$)")
 
 
-def lists_code(entries: Column, wanted: Sequence[str]) -> Column:
-    """Any array entry that equals one of the wanted codes."""
-    return F.arrays_overlap(entries, F.array(*[F.lit(w) for w in wanted]))
-
-
 def has_code(codes: Column, wanted: Sequence[str], delimiter: str = ",") -> Column:
     """Any list entry that equals one of the wanted codes."""
-    return lists_code(F.split(codes, delimiter), wanted)
+    return codes.rlike(f"(^|{delimiter})({'|'.join(wanted)})({delimiter}|$)")
 
 
 def join_key(c: Column) -> Column:

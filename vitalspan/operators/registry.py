@@ -72,12 +72,14 @@ def _any(flags: list[Column]) -> Column:
 
 
 def indicator(rules: list[tuple[str, str, list[str]]]) -> Column:
-    def test(source: str, kind: str, codes: list[str]) -> Column:
-        if kind == "prefix":
-            return text.has_code_prefix(F.col(f"_{source}"), codes)
-        return text.lists_code(F.col(f"_{source}_list"), codes)
+    tests = {"prefix": text.has_code_prefix, "exact": text.has_code}
+    return _any([tests[kind](F.col(f"_{source}"), codes) for source, kind, codes in rules])
 
-    return _any([test(*rule) for rule in rules])
+
+NUMERIC_COLUMNS = [
+    "forlossningstid_fv1", "etablerade_varkar_tid", "apgar_1_min", "apgar_5_min", "apgar_10_min", "gl_v_barn",
+    "gl_d_barn", "para_mhv1", "langd_inskrivning_cm", "bmi_inskrivning", "alkohol_audit_poang", "ph_navelartar", "ph_navelven",
+]
 
 
 def parse_registry(raw: DataFrame) -> DataFrame:
@@ -90,57 +92,49 @@ def parse_registry(raw: DataFrame) -> DataFrame:
             "_labour": text.text_date(c("etablerade_varkar_datum")),
             "_death": text.text_date(c("avled_datum")),
             "_sex": text.clean_text(c("kon")),
-            "_artery": text.comma_double(c("ph_navelartar")),
-            "_vein": text.comma_double(c("ph_navelven")),
             **{f"_{short}": text.code_list(c(column)) for short, column in CODE_SOURCES.items()},
+            **{f"_n_{column}": text.comma_double(c(column)) for column in NUMERIC_COLUMNS},
         }
     )
-    staged = staged.withColumns(
-        {
-            "_birth_seconds": text.comma_int(c("forlossningstid_fv1")),
-            "_labour_seconds": text.comma_int(c("etablerade_varkar_tid")),
-            "_mother_born": dates.date_from_digits(c("_digits")),
-            **{f"_{short}_list": F.split(c(f"_{short}"), ",") for short in CODE_SOURCES},
-        }
-    ).withColumns(
-        {
-            "_birth_ts": dates.date_with_seconds(c("_birth"), c("_birth_seconds")),
-            "_labour_ts": dates.date_with_seconds(c("_labour"), c("_labour_seconds")),
-        }
-    )
+
+    def whole(column: str) -> Column:
+        return text.rounded_int(c(f"_n_{column}"))
+
+    birth_ts = dates.date_with_seconds(c("_birth"), whole("forlossningstid_fv1"))
+    labour_ts = dates.date_with_seconds(c("_labour"), whole("etablerade_varkar_tid"))
     girl = c("_sex") == "Flicka"
     typed = {
         "glopnr": text.join_key(c("glopnr")),
         "PatientID": text.person_key(c("_digits")),
         "birth_day": c("_birth"),
-        "birth_time_seconds": c("_birth_seconds"),
-        "birth_timestamp": c("_birth_ts"),
-        "maternal_age": dates.completed_years(c("_mother_born"), c("_birth")),
+        "birth_time_seconds": whole("forlossningstid_fv1"),
+        "birth_timestamp": birth_ts,
+        "maternal_age": dates.completed_years(dates.date_from_digits(c("_digits")), c("_birth")),
         "etablerade_varkar_datum": c("_labour"),
-        "etablerade_varkar_tid": c("_labour_seconds"),
-        "etablerade_varkar_timestamp": c("_labour_ts"),
-        "etablerade_varkar_seconds": dates.seconds_between(c("_labour_ts"), c("_birth_ts")),
+        "etablerade_varkar_tid": whole("etablerade_varkar_tid"),
+        "etablerade_varkar_timestamp": labour_ts,
+        "etablerade_varkar_seconds": dates.seconds_between(labour_ts, birth_ts),
         "forlossningsstart": text.clean_text(c("forlossningsstart_basta_skattning")),
         "forlossningsslut": text.clean_text(c("forlossningsslut_basta_skattning")),
-        "apgar1": text.comma_int(c("apgar_1_min")),
-        "apgar5": text.comma_int(c("apgar_5_min")),
-        "apgar10": text.comma_int(c("apgar_10_min")),
-        "gestational_days": text.comma_int(c("gl_v_barn")) * 7 + text.comma_int(c("gl_d_barn")),
+        "apgar1": whole("apgar_1_min"),
+        "apgar5": whole("apgar_5_min"),
+        "apgar10": whole("apgar_10_min"),
+        "gestational_days": whole("gl_v_barn") * 7 + whole("gl_d_barn"),
         "fodelseland": text.clean_text(c("fodelseland")),
         "utbildningsniva": text.clean_text(c("utbildningsniva")),
-        "para_mhv1": text.comma_int(c("para_mhv1")),
-        "langd_inskrivning_cm": text.comma_double(c("langd_inskrivning_cm")),
-        "bmi_inskrivning": text.comma_double(c("bmi_inskrivning")),
+        "para_mhv1": whole("para_mhv1"),
+        "langd_inskrivning_cm": c("_n_langd_inskrivning_cm"),
+        "bmi_inskrivning": c("_n_bmi_inskrivning"),
         "previous_c_section": F.coalesce(text.yes_no(c("tidigare_sectio")), F.lit(False)),
         **{name: text.clean_text(c(name)) for name in SMOKING_COLUMNS},
         "is_smoker": _any([text.mentions(c(name), SMOKING_FRAGMENT) for name in SMOKING_COLUMNS]),
         "diabetes_mellitus": text.yes_no(c("diabetes_mellitus")),
         "child_sex": F.when(girl, "Flicka").when(c("_sex").isNotNull(), "Pojke"),
         "is_girl": girl,
-        "alkohol_audit_poang": text.comma_int(c("alkohol_audit_poang")),
-        "ph_navelartar": c("_artery"),
-        "ph_navelven": c("_vein"),
-        "ph_navel_below7": F.coalesce("_artery", "_vein") < ACIDOSIS_LIMIT,
+        "alkohol_audit_poang": whole("alkohol_audit_poang"),
+        "ph_navelartar": c("_n_ph_navelartar"),
+        "ph_navelven": c("_n_ph_navelven"),
+        "ph_navel_below7": F.coalesce("_n_ph_navelartar", "_n_ph_navelven") < ACIDOSIS_LIMIT,
         "avled_datum": c("_death"),
         "died_after_days": dates.days_if_within(c("_birth"), c("_death"), *DEATH_WINDOW_DAYS),
         **{name: indicator(rules) for name, rules in CODE_RULES.items()},
