@@ -18,6 +18,12 @@ def _clamped(p: float) -> float:
     return min(1.0, max(0.0, p))
 
 
+def _brackets(wanted: Mapping[str, tuple[str, float]], column: str) -> list[float]:
+    """Probabilities just below and above every wanted quantile of a column."""
+    near = {_clamped(p + side) for c, p in wanted.values() if c == column for side in (-MARGIN, MARGIN)}
+    return sorted(near)
+
+
 def exact_quantiles(
     rows: DataFrame, group: Sequence[str], wanted: Mapping[str, tuple[str, float]], spread_by: Sequence[str] | None = None
 ) -> DataFrame:
@@ -26,7 +32,8 @@ def exact_quantiles(
     ``wanted`` maps an output name to (value column, probability).  A mergeable sketch
     with a guaranteed rank error brackets each quantile; values below the bracket are
     only counted and values inside it are counted per distinct value, so the exact
-    order statistics are taken from a sliver of each group.
+    order statistics are taken from a sliver of each group.  A bracket that misses its
+    rank would break the sketch's guarantee and fails the query.
     """
     names = list(wanted)
     keys = list(group) or ["_all"]
@@ -43,28 +50,32 @@ def exact_quantiles(
         *[F.count(c).alias(f"_n_{c}") for c in columns],
         *[F.min(c).alias(f"_min_{c}") for c in columns],
         *[F.max(c).alias(f"_max_{c}") for c in columns],
-        *[
-            F.percentile_approx(c, [_clamped(p - MARGIN), _clamped(p + MARGIN)], ACCURACY).alias(f"_near_{name}")
-            for name, (c, p) in wanted.items()
-        ],
+        *[F.percentile_approx(c, _brackets(wanted, c), ACCURACY).alias(f"_near_{c}") for c in columns],
     )
     if group:
         located = join_per_key(base, sketch, keys, spread_by=spread)
     else:
         located = with_single_row(base, sketch.drop("_all"))
 
+    def item(which: int, column: str, value: Column) -> Column:
+        return F.struct(F.lit(which).alias("which"), F.col(f"_n_{column}").alias("n"), value.alias("value"))
+
+    def small(column: str) -> Column:
+        return F.col(f"_n_{column}") < SMALL_GROUP
+
     def bracketed(index: int, name: str) -> Column:
         column, p = wanted[name]
-        value, n, near = F.col(column), F.col(f"_n_{column}"), F.col(f"_near_{name}")
-        small = n < SMALL_GROUP
-        low = F.when(small | F.lit(p <= MARGIN), F.col(f"_min_{column}")).otherwise(near[0])
-        high = F.when(small | F.lit(p >= 1 - MARGIN), F.col(f"_max_{column}")).otherwise(near[1])
-        item = F.struct(
-            F.lit(index).alias("which"), n.alias("n"), F.when(value >= low, value).alias("value")
-        )
-        return F.when(value <= high, item)
-
-    items = F.filter(F.array(*[bracketed(i, n) for i, n in enumerate(names)]), lambda x: x.isNotNull())
+        value, near, probes = F.col(column), F.col(f"_near_{column}"), _brackets(wanted, column)
+        below, above = near[probes.index(_clamped(p - MARGIN))], near[probes.index(_clamped(p + MARGIN))]
+        low = F.col(f"_min_{column}") if p <= MARGIN else below
+        high = F.col(f"_max_{column}") if p >= 1 - MARGIN else above
+        return F.when(~small(column) & (value <= high), item(index, column, F.when(value >= low, value)))
+
+    # A small group counts all its values once per column; a large one only its brackets.
+    shared = {c: len(names) + i for i, c in enumerate(columns)}
+    found = [F.when(small(c) & F.col(c).isNotNull(), item(shared[c], c, F.col(c))) for c in columns]
+    found += [bracketed(i, n) for i, n in enumerate(names)]
+    items = F.filter(F.array(*found), lambda x: x.isNotNull())
     exploded = located.select(*keys, F.explode(items).alias("item")).select(*keys, "item.*")
     counted = exploded.groupBy(*keys, "which", "n", "value").agg(F.count(F.lit(1)).alias("_times"))
     upward = (
@@ -73,17 +84,27 @@ def exact_quantiles(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranked = counted.withColumn("_up_to", F.sum("_times").over(upward))
-    probability = F.element_at(F.array(*[F.lit(wanted[n][1]) for n in names]), F.col("which") + 1)
-    rank = probability * (F.col("n") - 1)
-    at = F.floor(rank)
-    next_at = F.least(at + 1, F.col("n") - 1)
-    picked = ranked.groupBy(*keys, "which").agg(
-        F.min(F.when(F.col("_up_to") > at, F.col("value"))).alias("low"),
-        F.min(F.when(F.col("_up_to") > next_at, F.col("value"))).alias("high"),
-        F.max(rank - at).alias("share"),
-    )
-    value = F.col("low") + (F.col("high") - F.col("low")) * F.col("share")
-    wide = picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("which") == i, value)).alias(name) for i, name in enumerate(names)]
-    )
-    return wide if group else wide.drop("_all")
+
+    def order_statistics(index: int, name: str) -> list[Column]:
+        column, p = wanted[name]
+        own = F.col("which").isin(index, shared[column])
+        rank = F.lit(p) * (F.col("n") - 1)
+        at = F.floor(rank)
+        next_at = F.least(at + 1, F.col("n") - 1)
+        return [
+            F.min(F.when(own & (F.col("_up_to") > at), F.col("value"))).alias(f"_low_{name}"),
+            F.min(F.when(own & (F.col("_up_to") > next_at), F.col("value"))).alias(f"_high_{name}"),
+            F.max(F.when(own, rank)).alias(f"_rank_{name}"),
+            F.max(F.when(own & F.col("value").isNull(), F.col("_up_to"))).alias(f"_under_{name}"),
+        ]
+
+    picked = ranked.groupBy(*keys).agg(*[c for i, n in enumerate(names) for c in order_statistics(i, n)])
+
+    def interpolated(name: str) -> Column:
+        low, high, rank = F.col(f"_low_{name}"), F.col(f"_high_{name}"), F.col(f"_rank_{name}")
+        at = F.floor(rank)
+        outside = (F.coalesce(F.col(f"_under_{name}"), F.lit(0)) > at) | (rank.isNotNull() & high.isNull())
+        failure = F.raise_error(F.lit(f"bracket of {name} misses its rank")).cast("double")
+        return F.when(outside, failure).otherwise(low + (high - low) * (rank - at)).alias(name)
+
+    return picked.select(*group, *[interpolated(n) for n in names])

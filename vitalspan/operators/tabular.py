@@ -88,11 +88,12 @@ def kept_levels(counts: DataFrame, top_k_columns: Sequence[str], top_k: int, min
     The top-k columns keep their most frequent levels, counting the missing level
     before it is discarded; the others keep every level that is frequent enough.
     """
-    by_count = Window.partitionBy("column").orderBy(F.col("n_rows").desc(), F.col("level"))
-    ranked = counts.withColumn("_place", F.row_number().over(by_count))
     is_top_k = F.col("column").isin(list(top_k_columns)) if top_k_columns else F.lit(False)
-    keep = F.when(is_top_k, F.col("_place") <= top_k).otherwise(F.col("n_rows") >= min_frequency)
-    return ranked.where(keep & (F.col("level") != MISSING)).select("column", "level", "n_rows")
+    by_count = Window.partitionBy("column").orderBy(F.col("n_rows").desc(), F.col("level"))
+    top = counts.where(is_top_k).withColumn("_place", F.row_number().over(by_count)).where(F.col("_place") <= top_k)
+    frequent = counts.where(~is_top_k & (F.col("n_rows") >= min_frequency))
+    kept = top.drop("_place").unionByName(frequent)
+    return kept.where(F.col("level") != MISSING).select("column", "level", "n_rows")
 
 
 def fit_encoder(
