@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalspan.catalog.base import Query, table
-from vitalspan.llm import bpe, decontaminate
+from vitalspan.llm import bpe, decontaminate, ngram_join, suffix_dedup
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,66 @@ FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document, by Wu-Manber search."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d)
+), m AS (
+  SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)
+), r AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh
+  FROM w JOIN m USING (s) WHERE doc_id > first_id
+), numbered AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r
+), runs AS (
+  SELECT doc_id, min(i) AS low, max(i) + 50 AS high FROM numbered GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, low, high, lag(high, 1, 0) OVER (PARTITION BY doc_id ORDER BY low) AS before FROM runs
+), cut AS (
+  SELECT doc_id, CAST(sum(high - low) AS BIGINT) AS n_removed, count(*) AS n_spans, max(high) AS last_high,
+    string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS head
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last_high, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
+@query("op2_suffix_dedup", _OP2_SQL)
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that an earlier document already has in a string of 50."""
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
+_OP8_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.size, nb.size
+  HAVING 100 * count(*) >= 85 * (na.size + nb.size - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM d
+  UNION
+  SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT d.doc_id, coalesce(any_value(n.size), 0) AS n_shingles, min(reach.y) AS component_id
+FROM d JOIN reach ON reach.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op8_ngram_join", _OP8_SQL)
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies by 4-word shingles and Jaccard 0.85."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
