@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalspan.catalog.base import Query, table
-from vitalspan.llm import bpe, decontaminate, ngram_join, suffix_dedup
+from vitalspan.llm import bpe, decontaminate, ngram_join, suffix_dedup, toxicity
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,9 @@ FROM d JOIN reach ON reach.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near copies by 4-word shingles and Jaccard 0.85."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a text is toxic, from lexicon hits and their context."""
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
