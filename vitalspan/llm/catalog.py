@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalspan.catalog.base import Query, table
-from vitalspan.llm import bpe, decontaminate, ngram_join, suffix_dedup, toxicity
+from vitalspan.llm import bpe, decontaminate, licenses, ngram_join, quality_cnn, suffix_dedup, toxicity
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,48 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability that a text is toxic, from lexicon hits and their context."""
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op1_sql() -> str:
+    """Phrases and templates as regular expressions over the words joined by spaces."""
+    phrases = [(" ".join(p.split()), label) for p, label in licenses.PHRASES.items()]
+    found = [(licenses.template_pattern(t), label, score) for label, score, t in licenses.TEMPLATES]
+    values = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in phrases)
+    hits = ", ".join(f"regexp_matches(joined, '{pattern}')" for pattern, _, _ in found)
+    labels = ", ".join(f"'{label}'" for _, label, _ in found)
+    scores = ", ".join(str(score) for _, _, score in found)
+    return f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '{WORDS}') AS w FROM documents
+), j AS (
+  SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS joined FROM d
+), places AS (
+  SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: array_to_string(w[i + 1 : i + n], ' ') = phrase)) AS i
+  FROM j JOIN (VALUES {values}) AS p(phrase, label, n) ON contains(joined, ' ' || phrase || ' ')
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels
+  FROM places GROUP BY doc_id
+), t AS (
+  SELECT doc_id, len(w) AS n, list_zip([{hits}], [{labels}], [{scores}]) AS hits FROM j
+), m AS (
+  SELECT doc_id, n, list_transform(list_filter(hits, lambda h: h[1]), lambda h: h[2]) AS labels,
+    coalesce(list_max(list_transform(list_filter(hits, lambda h: h[1]), lambda h: h[3])), 0) AS score FROM t
+)
+SELECT doc_id, n AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), m.labels))), ',') AS labels,
+  CAST(greatest(m.score, CASE WHEN n_base > 0 THEN {licenses.PHRASE} ELSE 0 END) AS DOUBLE) AS score
+FROM m LEFT JOIN base USING (doc_id)
+"""
+
+
+@query("op1_licenses", _op1_sql())
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and accepted licence templates of every text."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that a text is of good quality, by a byte-level convolutional network."""
+    return quality_cnn.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
