@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalspan.catalog.base import Query, table
-from vitalspan.llm import bpe, decontaminate, licenses, ngram_join, quality_cnn, suffix_dedup, toxicity
+from vitalspan.llm import bpe, decontaminate, licenses, ngram_join, quality_cnn, repair_store, suffix_dedup, toxicity
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -180,3 +180,9 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability that a text is of good quality, by a byte-level convolutional network."""
     return quality_cnn.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_repair")
+def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files with a Re-Pair grammar per shard, read back document by document."""
+    return repair_store.store_and_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
