@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vitalspan.catalog.base import Query, table
-from vitalspan.llm import bpe, decontaminate, licenses, ngram_join, quality_cnn, repair_store, suffix_dedup, toxicity
+from vitalspan.llm import (
+    bpe,
+    decontaminate,
+    licenses,
+    ngram_join,
+    order_minhash,
+    quality_cnn,
+    repair_store,
+    suffix_dedup,
+    toxicity,
+    url_rules,
+)
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +197,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files with a Re-Pair grammar per shard, read back document by document."""
     return repair_store.store_and_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_order_minhash")
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of every text and of its edited text, by built-in functions."""
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op7_url_rules")
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL by fixed rules, then by mined ones."""
+    return url_rules.judged(table(spark, sf_dir, "pages"))
