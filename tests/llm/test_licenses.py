@@ -48,7 +48,7 @@ def test_every_template_accepts_its_mandatory_wording(template):
         label = next(name for name, _, t in TEMPLATES if t == template)
         assert label in Scanner({}, TEMPLATES).scan(text)["labels"].split(",")
     mandatory = list(words(parse(template), False))
-    broken = b" ".join([*mandatory[:2], b"other", *mandatory[2:]])
+    broken = b" ".join([*mandatory[:2], *[b"other"] * 9, *mandatory[2:]])
     assert Scanner({}, [("x", 1.0, template)]).scan(broken)["labels"] == ""
 
 
@@ -72,7 +72,7 @@ def test_places_and_scores(spark, no_docs, clashing):
     assert (by[1]["n_base"], by[1]["first_word"], by[1]["last_word"], by[1]["base_labels"]) == (3, 0, 8, "cc-by-nc,mit")
     assert by[1]["score"] == 0.5
     assert (by[2]["labels"], by[2]["score"], by[2]["first_word"]) == ("mit", 0.9, 1)
-    assert (by[3]["labels"], by[3]["n_words"]) == ("apache-2", 7)
+    assert (by[3]["labels"], by[3]["n_words"]) == ("apache-2", 8)
     assert (by[4]["n_words"], by[4]["labels"], by[4]["score"], by[4]["first_word"]) == (0, "", 0.0, None)
     assert by[5]["n_base"] == 0 and len(got) == 6
     assert scan(no_docs).count() == 0

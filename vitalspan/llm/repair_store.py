@@ -199,15 +199,17 @@ def _write_shards(path: str, end_id: int, shard: int):
         end, part, seq = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
         ids: list = []
         bodies: list[bytes] = []
+        size = 0
         for batch in batches:
             found, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
             for a in range(0, len(texts), 256):
                 for doc, body in zip(found[a : a + 256], _ENCODERS[path].encode(texts[a : a + 256]), strict=True):
                     ids.append(doc)
                     bodies.append(body + end)
-                if sum(map(len, bodies)) >= 4 * shard:
-                    yield _batch(part, seq, ids, bodies)
-                    ids, bodies, seq = [], [], seq + 1
+                    size += len(bodies[-1])
+                    if size >= 4 * shard:
+                        yield _batch(part, seq, ids, bodies)
+                        ids, bodies, size, seq = [], [], 0, seq + 1
         if ids:
             yield _batch(part, seq, ids, bodies)
 
