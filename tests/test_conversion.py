@@ -97,8 +97,36 @@ def test_zip_member_choice_skip_and_empty_inputs(spark, tmp_path):
     assert conversion.convert(spark, [str(tmp_path / "*")], out, rej, member="small.json")["rows"] == 1
     (tmp_path / "b2.json").write_text('{"PatientID": 1}')
     done = conversion.convert(spark, [str(tmp_path / "b2.json")], out, rej)
-    assert done["rows"] == 1 and done["rejects"] == 1
-    assert conversion.preview(spark, str(tmp_path / "b.zip"), 2).count() == 2
+    assert done["rows"] == 0 and done["rejects"] == 1
+    assert conversion.preview(spark, [str(tmp_path / "b.zip")], 2).count() == 2
     with pytest.raises(FileNotFoundError):
         with zipfile.ZipFile(tmp_path / "none.zip", "w") as z:
             concat_json.pick_member(z)
+
+
+@pytest.mark.parametrize("width", [97, 211, 900, 1009])
+def test_inputs_of_one_name_in_two_folders_stay_apart(spark, tmp_path, width):
+    for folder, n, text in (("a", 40, "x} {y"), ("b", 100, "plain")):
+        (tmp_path / folder).mkdir()
+        body = "".join(record(i, Hr1Mode=text) for i in range(n))
+        (tmp_path / folder / "export.json").write_text(body + '{"PatientID": 1}')
+    out, rej = str(tmp_path / "out"), str(tmp_path / "rej")
+    done = conversion.convert(spark, [str(tmp_path / "*" / "export.json")], out, rej, range_bytes=width)
+    assert done == {"inputs": 2, "rows": 140, "rejects": 2}
+    counts = sorted(r["count"] for r in spark.read.parquet(out).groupBy("source").count().collect())
+    assert counts == [40, 100]
+    assert {r["location"] for r in spark.read.parquet(rej).collect()} == {"record index 41", "record index 101"}
+
+
+def test_rejects_of_earlier_runs_stay_until_their_input_is_clean(spark, tmp_path):
+    out, rej = str(tmp_path / "out"), str(tmp_path / "rej")
+    first, second = tmp_path / "one.json", tmp_path / "two.json"
+    first.write_text(record(1) + '{"PatientID": 1}')
+    assert conversion.convert(spark, [str(first)], out, rej) == {"inputs": 1, "rows": 1, "rejects": 1}
+    second.write_text(record(2) + "[1, 2]")
+    done = conversion.convert(spark, [str(first), str(second), str(tmp_path / "*.json")], out, rej, skip_existing=True)
+    assert done == {"inputs": 1, "rows": 1, "rejects": 0}
+    assert spark.read.parquet(rej).count() == 1 and spark.read.parquet(out).count() == 2
+    first.write_text(record(1))
+    assert conversion.convert(spark, [str(first)], out, rej) == {"inputs": 1, "rows": 1, "rejects": 0}
+    assert not [p for p in (tmp_path / "rej").iterdir() if p.name.startswith("input=")]

@@ -133,7 +133,7 @@ def test_process_patients_in_batches(spark, tmp_path):
 def test_row_numbers_follow_the_file(spark, tmp_path):
     lines = ["a,b", *[f"{i},x" for i in range(500)]]
     (tmp_path / "t.csv").write_text("\n".join(lines))
-    found = patients.numbered_rows(tables.read_sniffed_csv(spark, str(tmp_path / "t.csv"))).collect()
+    found = patients.numbered_rows(tables.read_any_csv(spark, str(tmp_path / "t.csv"))).collect()
     assert sorted((int(r["a"]), r["row_number"]) for r in found) == [(i, i + 1) for i in range(500)]
     with pytest.raises(ValueError):
         patients.patient_list(spark.createDataFrame([], "personnummer_mor string, forlossningsdatum_fv1 string, apgar_5_min string"), 0)

@@ -193,9 +193,9 @@ def test_removed_inputs(spark):
     assert evaluation.features_of(names, ["kind"]) == ["kind__missing", "kind==A", "kind__other"]
     rows = spark.createDataFrame([(1.0, 0.0, 0.0, 1.0, 0.0, 5.0, [1.0, 2.0])], ", ".join(f"`{n}` double" for n in names) + ", FHR array<float>")
     means = {n: 9.0 for n in names}
-    group = study.apply_removal(rows, study.Removal("k", "tabular_group", ("kind",)), names, ["FHR"], means).first()
+    group = study.apply_removal(rows, study.Removal("k", inputs=("kind",)), names, ["FHR"], means).first()
     assert list(group)[:6] == [1.0, 0.0, 9.0, 9.0, 9.0, 5.0]
-    assert study.apply_removal(rows, study.Removal("s", "sequence"), names, ["FHR"], means).first()["FHR"] == [0.0, 0.0]
+    assert study.apply_removal(rows, study.Removal("s", series=True), names, ["FHR"], means).first()["FHR"] == [0.0, 0.0]
     with pytest.raises(ValueError):
         evaluation.remove_features(rows, names, ["zzz"], means)
 

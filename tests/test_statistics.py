@@ -74,9 +74,7 @@ def brute_ap(y, s):
     return total
 
 
-def brute_best(y, s):
-    points = np.unique(np.clip(s, 0, 1))
-    points = np.linspace(0, 1, 501) if len(points) > 500 else points
+def brute_best(y, s, points):
     best = (-1.0, 0.5)
     for t in points:
         hit = s >= t
@@ -100,9 +98,25 @@ def test_metrics_match_brute_force(spark, n, digits):
     hit = s >= 0.4
     assert (r["tp"], r["fp"], r["fn"], r["tn"]) == (
         int(y[hit].sum()), int((1 - y)[hit].sum()), int(y[~hit].sum()), int((1 - y)[~hit].sum()))
-    best = metrics.best_f1_threshold(rows, "y", "s").first()
-    f1, threshold = brute_best(y, s)
-    assert best["f1"] == pytest.approx(f1) and best["threshold"] == pytest.approx(threshold)
+    for kind, points in (("distinct", np.unique(s)), ("grid", np.linspace(0, 1, 501))):
+        best = metrics.best_f1_threshold(rows, "y", "s", candidates=kind).first()
+        f1, threshold = brute_best(y, s, points)
+        assert best["f1"] == pytest.approx(f1) and best["threshold"] == pytest.approx(threshold)
+    with pytest.raises(ValueError):
+        metrics.best_f1_threshold(rows, "y", "s", candidates="some")
+
+
+def test_areas_of_scores_outside_zero_and_one(spark):
+    rng = np.random.default_rng(1)
+    frames = []
+    for task, (shift, scale) in enumerate([(0, 1), (5, 3), (-40, 0.001)]):
+        y = rng.integers(0, 2, 400)
+        frames.append(pd.DataFrame({"task": task, "y": y, "s": shift + scale * (rng.normal(size=400) + y)}))
+    rows = spark.createDataFrame(pd.concat(frames))
+    found = {r["task"]: r for r in metrics.binary_metrics(rows, "y", "s", group=["task"]).collect()}
+    for task, frame in enumerate(frames):
+        assert found[task]["roc_auc"] == pytest.approx(brute_auc(frame["y"].to_numpy(), frame["s"].to_numpy()))
+        assert found[task]["pr_auc"] == pytest.approx(brute_ap(frame["y"].to_numpy(), frame["s"].to_numpy()))
 
 
 def test_one_class_has_no_areas(spark):

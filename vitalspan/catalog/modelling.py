@@ -175,17 +175,23 @@ SELECT round(t, 6) AS threshold, round(2.0 * tp / (called + p), 6) AS f1 FROM tr
 
 @query(
     "best_f1",
-    f"""WITH {SCORED_SQL}, {_best_sql("""SELECT score AS t FROM levels WHERE (SELECT count(*) FROM levels) <= 500
-        UNION ALL SELECT i * 0.002::DOUBLE FROM range(501) r(i) WHERE (SELECT count(*) FROM levels) > 500""")}""",
+    f"WITH {SCORED_SQL}, {_best_sql('SELECT score AS t FROM levels')}",
 )
 def best_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = metrics.best_f1_threshold(scored_labels(spark, sf_dir), "target", "score")
     return found.select(six(F.col("threshold"), "threshold"), six(F.col("f1"), "f1"))
 
 
+@query("best_f1_many_scores", f"WITH {LINE_SCORES_SQL}, {_best_sql('SELECT score AS t FROM levels')}")
+def best_f1_many_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct score is a candidate, also when there are more than a grid has points."""
+    found = metrics.best_f1_threshold(scored_lines(spark, sf_dir), "target", "score")
+    return found.select(six(F.col("threshold"), "threshold"), six(F.col("f1"), "f1"))
+
+
 @query("best_f1_grid", f"WITH {LINE_SCORES_SQL}, {_best_sql('SELECT i * 0.002::DOUBLE AS t FROM range(501) r(i)')}")
 def best_f1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.best_f1_threshold(scored_lines(spark, sf_dir), "target", "score")
+    found = metrics.best_f1_threshold(scored_lines(spark, sf_dir), "target", "score", candidates="grid")
     return found.select(six(F.col("threshold"), "threshold"), six(F.col("f1"), "f1"))
 
 

@@ -29,12 +29,21 @@ def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "mean_positive_samples",
-    f"""WITH {SAMPLES_SQL}, p AS (SELECT l_orderkey, l_linenumber, l_partkey, [x FOR x IN [s0, s1, s2, s3] IF x > 0] AS v FROM samples)
-    SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN len(v) > 0 THEN list_sum(v) // len(v) ELSE 0 END AS DOUBLE) AS rate FROM p""",
+    f"""WITH {SAMPLES_SQL}, p AS (SELECT l_orderkey, l_linenumber, l_partkey, [x FOR x IN [s0, s1, s2, s3] IF x > 0] AS v,
+        [x FOR x IN [s0, CASE WHEN l_linenumber = 1 THEN NULL ELSE s1 END, s2, s3] IF x > 0] AS d FROM samples)
+    SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN len(v) > 0 THEN list_sum(v) // len(v) ELSE 0 END AS DOUBLE) AS rate,
+        round(CAST(CAST(CASE WHEN len(d) > 0 THEN list_sum(d) / len(d) ELSE 0 END AS FLOAT) AS DOUBLE), 3) AS real_rate FROM p""",
 )
 def mean_positive_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rate = signal.mean_positive([F.col(f"s{i}") for i in range(4)]).cast("double")
-    return line_samples(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", rate.alias("rate"))
+    """Integer samples, and real ones of which some are NaN."""
+    samples = [F.col(f"s{i}") for i in range(4)]
+    rate = signal.mean_positive(samples).cast("double")
+    real = [s.cast("double") for s in samples]
+    real[1] = F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(real[1])
+    mean = signal.mean_positive(real, integral=False).cast("double")
+    return line_samples(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", "l_partkey", rate.alias("rate"), F.round(mean, 3).alias("real_rate")
+    )
 
 
 # Two hex digits per byte; both engines turn them into base64 text.

@@ -53,7 +53,7 @@ def _parser() -> argparse.ArgumentParser:
     sub.add_argument("--gap-minutes", type=float, default=config.SESSION_GAP_MINUTES)
     sub.add_argument("--preg-gap-days", type=float, default=config.EPISODE_GAP_DAYS)
 
-    sub = command("trace", "series")
+    sub = command("trace", "series", "output")
     sub.add_argument("--registry")
     sub.add_argument("--baby-id")
     sub.add_argument("--apgar", type=int)
@@ -122,7 +122,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     spark = get_spark()
     if args.command == "convert":
         if args.preview:
-            conversion.preview(spark, args.inputs[0], args.preview).show(args.preview, truncate=False)
+            conversion.preview(spark, args.inputs, args.preview).show(args.preview, truncate=False)
         done = conversion.convert(
             spark, args.inputs, args.output, args.rejects, args.zip_member, args.skip_existing
         )
@@ -144,7 +144,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         series = spark.read.parquet(args.series)
         registry = tables.read_text_csv(spark, args.registry, ",") if args.registry else None
         chosen = args.baby_id or cohort.pick_subject(series, args.seed, registry, args.apgar).first()["BabyID"]
-        cohort.trace(series, chosen).show(3601, truncate=False)
+        sinks.write_stage(cohort.trace(series, chosen), args.output)
     elif args.command == "patients":
         raw = spark.read.parquet(args.raw)
         patients.process_patients(

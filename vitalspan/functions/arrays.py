@@ -10,19 +10,21 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def softmax(logits: Column) -> Column:
-    shift = F.array_max(logits)
-    raised = F.transform(logits.cast("array<double>"), lambda x: F.exp(x - shift))
-    return F.transform(raised, lambda x: x / _total(raised))
+def _raised(logits: Column, use) -> Column:
+    """``use`` applied to exp(logit - largest logit); shift and powers are computed once."""
+    values = logits.cast("array<double>")
+    pairs = F.transform(F.array(F.struct(values.alias("v"), F.array_max(values).alias("top"))), lambda s: F.transform(s["v"], lambda x: F.exp(x - s["top"])))
+    return F.transform(pairs, use)[0]
 
 
-def expected_index(probabilities: Column) -> Column:
-    return _total(F.transform(probabilities, lambda p, i: p * i))
+def expected_class(logits: Column) -> Column:
+    """Mean class index under the softmax of the logits."""
+    return _raised(logits, lambda e: _total(F.transform(e, lambda p, i: p * i)) / _total(e))
 
 
-def head_mass(probabilities: Column, size: int) -> Column:
-    """Probability mass of the first ``size`` classes."""
-    return _total(F.slice(probabilities, 1, size))
+def head_mass(logits: Column, size: int) -> Column:
+    """Softmax probability of the first ``size`` classes."""
+    return _raised(logits, lambda e: _total(F.slice(e, 1, size)) / _total(e))
 
 
 def argmax_index(values: Column) -> Column:

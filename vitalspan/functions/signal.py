@@ -19,11 +19,13 @@ def real_number(c: Column) -> Column:
 
 
 def mean_positive(samples: Sequence[Column], integral: bool = True) -> Column:
-    """Mean of the positive samples, 0 when there is none.
+    """Mean of the positive samples, 0 when there is none; NaN is no sample.
 
     Integer samples keep integer division: the fraction is dropped.
     """
     kind = "bigint" if integral else "double"
+    if not integral:
+        samples = [real_number(s) for s in samples]
     n = sum((F.when(s > 0, 1).otherwise(0) for s in samples), F.lit(0)).cast(kind)
     total = sum((F.when(s > 0, s).otherwise(0).cast(kind) for s in samples), F.lit(0).cast(kind))
     mean = F.call_function("div", total, n) if integral else total / n

@@ -7,19 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.functions.signal import TOCO_HIGH, TOCO_LOW
+from vitalspan.functions.signal import TOCO_HIGH, TOCO_LOW, real_number
 from vitalspan.operators.skew import join_per_key
 
 
 def median_positive(value: str) -> Column:
-    """Median of the positive readings, 0 when there is none."""
-    return F.coalesce(F.median(F.when(F.col(value) > 0, F.col(value))), F.lit(0.0)).cast("float")
+    """Median of the positive readings, 0 when there is none; NaN does not vote."""
+    reading = real_number(F.col(value))
+    return F.coalesce(F.median(F.when(reading > 0, reading)), F.lit(0.0)).cast("float")
 
 
 def median_plausible(value: str, low: float = TOCO_LOW, high: float = TOCO_HIGH) -> Column:
-    """Median of the plausible readings, else of all readings."""
-    plausible = F.when(F.col(value).between(low, high), F.col(value))
-    return F.coalesce(F.median(plausible), F.median(value)).cast("float")
+    """Median of the plausible readings, else of all readings; NaN does not vote."""
+    reading = real_number(F.col(value))
+    plausible = F.when(reading.between(low, high), reading)
+    return F.coalesce(F.median(plausible), F.median(reading)).cast("float")
 
 
 def most_common(value: str) -> Column:

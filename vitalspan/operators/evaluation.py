@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalspan.functions.arrays import argmax_index, expected_index, head_mass, sigmoid, softmax
+from vitalspan.functions.arrays import argmax_index, expected_class, head_mass, sigmoid
 from vitalspan.operators import metrics
 
 LOW_SCORE_LIMIT = 7
@@ -47,13 +47,13 @@ def _long(rows: DataFrame, parts: list[tuple[str, Column, Column]]) -> DataFrame
 
 def expected_scores(rows: DataFrame, tasks: Sequence[TaskColumns]) -> DataFrame:
     """Truth and expected score (probability-weighted class index) per score task."""
-    return _long(rows, [(t.name, F.col(t.truth), expected_index(softmax(F.col(t.output)))) for t in tasks])
+    return _long(rows, [(t.name, F.col(t.truth), expected_class(F.col(t.output))) for t in tasks])
 
 
 def low_score_risks(rows: DataFrame, tasks: Sequence[TaskColumns], limit: int = LOW_SCORE_LIMIT) -> DataFrame:
     """Truth and probability of a score below the limit per score task."""
     parts = [
-        (f"{t.name}_below{limit}", (F.col(t.truth) < limit).cast("int"), head_mass(softmax(F.col(t.output)), limit))
+        (f"{t.name}_below{limit}", (F.col(t.truth) < limit).cast("int"), head_mass(F.col(t.output), limit))
         for t in tasks
     ]
     return _long(rows, parts)

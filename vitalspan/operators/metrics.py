@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from vitalspan.functions.arrays import clip
 from vitalspan.operators.cells import running_totals
-from vitalspan.operators.skew import join_per_key, with_single_row
+from vitalspan.operators.skew import with_single_row
 
-SCORE_BUCKETS = 4096
-MAX_THRESHOLDS = 500
-GRID_STEP = 1 / MAX_THRESHOLDS
+SCORE_RANGES = 64
+GRID_POINTS = 500
+GRID_STEP = 1 / GRID_POINTS
 
 
 def score_counts(rows: DataFrame, group: Sequence[str], label: str, score: str) -> DataFrame:
@@ -24,8 +24,18 @@ def score_counts(rows: DataFrame, group: Sequence[str], label: str, score: str)
     )
 
 
-def _bucket(score: Column) -> Column:
-    return F.floor(clip(score, 0.0, 1.0) * SCORE_BUCKETS).cast("int")
+def _with_ranges(counts: DataFrame) -> DataFrame:
+    """Add ``_range``: which of ``SCORE_RANGES`` ranges, equally full of distinct scores, holds the score.
+
+    The borders come from a sketch of the scores, so logits and scores crowded near zero
+    are dealt as evenly as any others.
+    """
+    cuts = [i / SCORE_RANGES for i in range(1, SCORE_RANGES)]
+    borders = counts.agg(F.percentile_approx("score", cuts, 1000).alias("_borders"))
+    placed = with_single_row(counts, borders)
+    # A sum of comparisons: a scalar subquery cannot stand in a lambda.
+    below = [F.coalesce(F.get("_borders", F.lit(i)) <= F.col("score"), F.lit(False)).cast("int") for i in range(len(cuts))]
+    return placed.withColumn("_range", sum(below, F.lit(0))).drop("_borders")
 
 
 def binary_metrics(
@@ -37,11 +47,11 @@ def binary_metrics(
     average precision is the step-wise sum over distinct scores.  A group with one
     class only has NULL areas.
     """
-    counts = score_counts(rows, group, label, score)
+    counts = _with_ranges(score_counts(rows, group, label, score))
     ranked = running_totals(
         counts,
         group,
-        _bucket(F.col("score")),
+        F.col("_range"),
         [F.col("score").desc()],
         {"tp_at": F.col("pos"), "fp_at": F.col("neg")},
         descending_buckets=True,
@@ -85,36 +95,26 @@ def _grid_index(score: Column) -> Column:
     )
 
 
-def best_f1_threshold(rows: DataFrame, label: str, score: str, group: Sequence[str] = ()) -> DataFrame:
+def best_f1_threshold(
+    rows: DataFrame, label: str, score: str, group: Sequence[str] = (), candidates: str = "distinct"
+) -> DataFrame:
     """Threshold with the highest F1 per group, the lowest one on ties.
 
-    Candidates are the distinct scores, or a grid of 501 points on [0, 1] when there
-    are more than 500; at most 501 candidates per group are ever compared.
+    ``candidates``: every ``distinct`` score, however many, or the 501 points of a ``grid``
+    on [0, 1].  The caller chooses; the number of scores changes nothing.
     """
+    if candidates not in ("distinct", "grid"):
+        raise ValueError(f"unknown candidates: {candidates}")
     keys = list(group) or ["_all"]
     clipped = rows.withColumn("_score", clip(F.col(score).cast("double"), 0.0, 1.0))
     if not group:
         clipped = clipped.withColumn("_all", F.lit(0))
     counts = score_counts(clipped, keys, label, "_score")
-    totals = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_scores"), F.sum("pos").alias("_p"))
-    known = join_per_key(counts, totals, keys, spread_by=["score"]) if group else with_single_row(counts, totals.drop("_all"))
-    on_grid = F.col("_n_scores") > MAX_THRESHOLDS
-    candidates = known.groupBy(
-        *keys,
-        "_p",
-        on_grid.alias("_on_grid"),
-        F.when(on_grid, _grid_index(F.col("score")).cast("double")).otherwise(F.col("score")).alias("_at"),
-    ).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    rising = Window.partitionBy(*keys).orderBy("_at")
-    above = rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    lowest_equal = (F.coalesce(F.lag("_at").over(rising), F.lit(-1.0)) + 1) * F.lit(GRID_STEP)
-    scored = candidates.select(
-        *keys,
-        F.when(F.col("_on_grid"), lowest_equal).otherwise(F.col("_at")).alias("threshold"),
-        F.sum("pos").over(above).alias("tp"),
-        F.sum("neg").over(above).alias("fp"),
-        "_p",
-    ).withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("_p")), F.lit(0.0)))
+    tried = _grid_counts(counts, keys) if candidates == "grid" else _distinct_counts(counts, keys)
+    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("_p"))
+    known = tried.join(totals, keys) if group else with_single_row(tried, totals.drop("_all"))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("_p")), F.lit(0.0))
+    scored = known.withColumn("f1", f1)
     best = scored.groupBy(*keys).agg(
         F.max_by("threshold", F.struct("f1", (-F.col("threshold")).alias("low"))).alias("threshold"),
         F.max("f1").alias("f1"),
@@ -122,6 +122,28 @@ def best_f1_threshold(rows: DataFrame, label: str, score: str, group: Sequence[s
     return best if group else best.drop("_all")
 
 
+def _distinct_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """True and false positives at every distinct score."""
+    sums = {"tp": F.col("pos"), "fp": F.col("neg")}
+    ranked = running_totals(
+        _with_ranges(counts), keys, F.col("_range"), [F.col("score").desc()], sums, descending_buckets=True
+    )
+    return ranked.select(*keys, F.col("score").alias("threshold"), "tp", "fp")
+
+
+def _grid_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same at the lowest grid point of each run of points that call the same rows."""
+    cells = counts.groupBy(*keys, _grid_index(F.col("score")).alias("_at")).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    )
+    rising = Window.partitionBy(*keys).orderBy("_at")
+    above = rising.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    lowest_equal = (F.coalesce(F.lag("_at").over(rising), F.lit(-1)) + 1) * F.lit(GRID_STEP)
+    return cells.select(
+        *keys, lowest_equal.alias("threshold"), F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp")
+    )
+
+
 def class_weights(labelled: DataFrame, target: str) -> DataFrame:
     """Positive weight of a binary target: negatives over positives (at least one)."""
     counted = labelled.agg(

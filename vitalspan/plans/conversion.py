@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import logging
 from collections.abc import Sequence
+from urllib.parse import quote
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitalspan.functions.dates import clock_text_to_timestamp
@@ -21,7 +23,8 @@ MODES = ["Hr1Mode", "Hr2Mode", "MhrMode", "TocoMode"]
 SAMPLES = 4
 SHORT_LOW, SHORT_HIGH = -32768, 32767
 SUFFIXES = [".json", ".zip"]
-LIST_ALL_BELOW = 20
+WORST_INPUTS = 5
+KEY_DIGITS = 12
 
 
 def shared_folder(spark: SparkSession, fallback: str) -> str:
@@ -76,10 +79,9 @@ def materialise_frames(
         reader = spark.read.format(concat_json.NAME).option("paths", "[]").option("ranges", json.dumps(fixed))
         reader.load().write.parquet(f"{root}/again_{turn}")
         again = spark.read.parquet(f"{root}/again_{turn}")
+        # The repaired ranges stand beside the first reading; only their keys are compared.
         replaced = again.select("source", "range_id").distinct()
-        merged = frames.join(replaced, ["source", "range_id"], "left_anti").unionByName(again)
-        merged.write.parquet(f"{root}/round_{turn}")
-        frames = spark.read.parquet(f"{root}/round_{turn}")
+        frames = frames.join(replaced, ["source", "range_id"], "left_anti").unionByName(again)
     return frames
 
 
@@ -183,13 +185,39 @@ def rejects(frames: DataFrame, parsed: DataFrame) -> DataFrame:
     return unreadable.unionByName(invalid)
 
 
-def preview(spark: SparkSession, pattern: str, n: int) -> DataFrame:
-    """The first ``n`` valid rows."""
-    frames = read_frames(spark, tables.matching_files(spark, pattern, SUFFIXES))
+def preview(spark: SparkSession, patterns: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` valid rows of all matching inputs."""
+    frames = read_frames(spark, _inputs(spark, patterns))
     objects = frames.where(F.col("kind") == "object").select("source", F.col("item").alias("record_index"), "text")
     return flat_rows(parsed_records(objects)).limit(n)
 
 
+def _inputs(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
+    """Matching files of all patterns, each once."""
+    return sorted({p for pattern in patterns for p in tables.matching_files(spark, pattern, SUFFIXES)})
+
+
+def input_key(path: str) -> str:
+    """Name of an input's partitions: its file name, told apart by a digest of its path."""
+    stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    return f"{stem}-{hashlib.sha256(path.encode()).hexdigest()[:KEY_DIGITS]}"
+
+
+def _input_key(source: Column) -> Column:
+    """The same key from the source of a row, which names the archive member as well."""
+    path = F.regexp_replace(source, r"(?i)(\.zip)::.*$", "$1")
+    stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+    return F.concat(stem, F.lit("-"), F.substring(F.sha2(path, 256), 1, KEY_DIGITS))
+
+
+def _write_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Replace only the partitions that get rows, when the whole write commits."""
+    (
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+        .partitionBy(by).parquet(path)
+    )
+
+
 def convert(
     spark: SparkSession,
     patterns: Sequence[str],
@@ -201,41 +229,46 @@ def convert(
 ) -> dict[str, int]:
     """Convert all matching inputs in one job, one output partition per input.
 
-    Only partitions that get rows are replaced, and only when the whole write commits, so
-    an interrupted run or an input without valid records leaves earlier output as it was.
+    Rejects are written before rows, both by input, and an input counts as done only by a
+    marker written last.  An interrupted run or an input without valid records leaves
+    earlier rows as they were; rejects of other inputs stay.  Rows are not shuffled: a task
+    writes the partitions of the ranges that it read.
     """
-    paths = [p for pattern in patterns for p in tables.matching_files(spark, pattern, SUFFIXES)]
+    paths = _inputs(spark, patterns)
+    done = f"{output.rstrip('/')}/_inputs"
     if skip_existing:
-        paths = [p for p in paths if not tables.path_exists(spark, f"{output}/source={_stem(p)}")]
+        paths = [p for p in paths if not tables.path_exists(spark, f"{done}/input={quote(input_key(p))}")]
     if not paths:
         return {"inputs": 0, "rows": 0, "rejects": 0}
     frames = materialise_frames(spark, paths, shared_folder(spark, f"{output}_work"), member, range_bytes)
     parsed = parsed_records(numbered_objects(frames))
-    stem = F.regexp_replace(F.regexp_replace("source", "::.*$", ""), r"\.[^.]*$", "")
-    (
-        flat_rows(parsed).withColumn("source", stem).repartition("source", F.pmod(F.xxhash64("PatientID", "Timestamp"), F.lit(64)))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-        .partitionBy("source").parquet(output)
-    )
-    rejects(frames, parsed).write.mode("overwrite").parquet(rejects_output)
-    refused = spark.read.parquet(rejects_output)
-    done = {"inputs": len(paths), "rows": spark.read.parquet(output).count(), "rejects": refused.count()}
-    log_rejects(refused, done["rejects"])
-    return done
-
-
-def _stem(path: str) -> str:
-    return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-
-
-def log_rejects(refused: DataFrame, total: int) -> None:
-    """Every reject when they are few, else the worst inputs; all of them stay in the table."""
+    rows_seen, rejects_seen = Observation(), Observation()
+    refused = rejects(frames, parsed).withColumn("input", _input_key(F.col("source")))
+    _write_partitions(refused.observe(rejects_seen, F.count(F.lit(1)).alias("n")), rejects_output, "input")
+    rows = flat_rows(parsed).withColumn("source", _input_key(F.col("source")))
+    _write_partitions(rows.observe(rows_seen, F.count(F.lit(1)).alias("n")), output, "source")
+    known = spark.createDataFrame([(input_key(p), p) for p in paths], "input string, path string")
+    _drop_old_rejects(spark, rejects_output, known, refused)
+    _write_partitions(known, done, "input")
+    found = {"inputs": len(paths), "rows": rows_seen.get["n"], "rejects": rejects_seen.get["n"]}
+    log_problems(frames, refused, found["rejects"])
+    return found
+
+
+def _drop_old_rejects(spark: SparkSession, rejects_output: str, known: DataFrame, refused: DataFrame) -> None:
+    """Remove the rejects of an earlier run of inputs that have none any more."""
+    clean = known.join(refused.select("input").distinct(), "input", "left_anti")
+    for r in clean.select("input").collect():  # at most one per input of this run
+        tables.remove_folder(spark, f"{rejects_output.rstrip('/')}/input={quote(r['input'])}")
+
+
+def log_problems(frames: DataFrame, refused: DataFrame, total: int) -> None:
+    """Totals and the worst inputs; every reject stays in the table."""
+    skipped = frames.where(F.col("kind") == "other").count()
+    if skipped:
+        log.warning("%s values that are not objects were skipped", f"{skipped:,}")
     if not total:
         return
     log.warning("%s conversion failures", f"{total:,}")
-    if total < LIST_ALL_BELOW:
-        for r in refused.collect():
-            log.warning("%s failure in %s at %s: %s", r["error_type"], r["source"], r["location"], r["message"])
-        return
-    for r in worst_sources(refused, 5).collect():
+    for r in worst_sources(refused, WORST_INPUTS).collect():
         log.warning("  %s: %s failures", r["source"], f"{r['n_failures']:,}")

@@ -118,7 +118,7 @@ def process_patients(
     min_share: float = 0.5,
 ) -> None:
     """Append cleaned series and their metadata; ids continue after the stored ones."""
-    patients = patient_list(tables.read_sniffed_csv(spark, registry_csv), start, count)
+    patients = patient_list(tables.read_any_csv(spark, registry_csv), start, count)
     meta_path, series_path, work = (f"{output}/{n}" for n in ("metadata", "series", f"work_{start}"))
     sinks.write_stage(clean_patients(raw, patients, sample_rate_hz, mode, min_share), work)
     cleaned = spark.read.parquet(work)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.config import EXTRA_COLUMNS, ReductionSettings
 from vitalspan.functions.keys import salted_key
-from vitalspan.functions.signal import mean_positive, with_toco_level
+from vitalspan.functions.signal import mean_positive, real_number, with_toco_level
 from vitalspan.functions.text import suffix_bucket
 from vitalspan.operators import dedup, quality, sessions
 from vitalspan.sources import sinks, tables
@@ -78,7 +78,7 @@ def remove_duplicates(rows: DataFrame, max_rate: float) -> DataFrame:
 
 
 def keep_informative(rows: DataFrame, minimum: int) -> DataFrame:
-    return quality.keep_informative(rows, "BabyID", "Timestamp", F.col("FHR") > 0, minimum)
+    return quality.keep_informative(rows, "BabyID", "Timestamp", real_number(F.col("FHR")) > 0, minimum)
 
 
 def add_anchor_date(rows: DataFrame) -> DataFrame:

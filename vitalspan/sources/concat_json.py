@@ -1,7 +1,8 @@
 """Data source for files of JSON objects written back to back.
 
-``spark.read.format("concatenated_json").option("path", glob).load()`` gives one row per
-framed item.  Plain files are cut into byte ranges.  A range starts at the first ``}`` that is
+``spark.read.format("concatenated_json").option("paths", json_list).load()`` gives one row per
+framed item.  ``source`` is the full path (and member), so inputs of one name in different
+folders stay apart.  Plain files are cut into byte ranges.  A range starts at the first ``}`` that is
 followed by ``{`` with only white space between: inside valid JSON a comma has to stand there,
 so this is an object boundary unless it lies in a text value.  Each range reports where its
 reading really ended, so a wrong guess is found and read again (see ``plans.conversion``).
@@ -10,7 +11,6 @@ Members of zip archives are read as one stream.
 
 from __future__ import annotations
 
-import glob
 import json
 import re
 import zipfile
@@ -140,7 +140,7 @@ def frame(stream: IO[bytes], position: int, stop: int | None) -> Iterator[tuple[
             break
         if finished:
             if held.strip():
-                yield "parse", here, count, "Trailing incomplete/invalid JSON at end of stream."
+                yield "parse", here, count, "the file ends inside an item"
             break
         chunk = stream.read(CHUNK)
         finished = not chunk
@@ -150,7 +150,7 @@ def frame(stream: IO[bytes], position: int, stop: int | None) -> Iterator[tuple[
 
 class ConcatenatedJsonReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.paths = json.loads(options["paths"]) if "paths" in options else sorted(glob.glob(options["path"]))
+        self.paths = json.loads(options["paths"])
         self.member = options.get("member")
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.fixed = json.loads(options["ranges"]) if "ranges" in options else None
@@ -173,7 +173,7 @@ class ConcatenatedJsonReader(DataSourceReader):
 
     def read(self, partition: ByteRange) -> Iterator[tuple[Any, ...]]:
         stream, _ = open_binary(partition.path)
-        source = PurePosixPath(partition.path).name
+        source = partition.path
         with stream:
             if partition.path.lower().endswith(".zip"):
                 with zipfile.ZipFile(stream) as archive:
