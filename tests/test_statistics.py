@@ -8,7 +8,7 @@ import pytest
 
 from vitalspan.config import SplitSettings
 from vitalspan.operators import features, metrics, splits
-from vitalspan.operators.quantiles import SMALL_GROUP, exact_quantiles
+from vitalspan.operators.quantiles import exact_quantiles
 
 PS = {"q10": 0.1, "q50": 0.5, "q90": 0.9, "q00": 0.0, "q100": 1.0}
 
@@ -17,7 +17,7 @@ PS = {"q10": 0.1, "q50": 0.5, "q90": 0.9, "q00": 0.0, "q100": 1.0}
 def test_quantiles_are_exact(spark, kind):
     rng = np.random.default_rng(3)
     frames = []
-    for g, n in (("hot", 3 * SMALL_GROUP), ("mid", SMALL_GROUP + 1), ("few", 7), ("one", 1)):
+    for g, n in (("hot", 24_000), ("mid", 8001), ("few", 7), ("one", 1)):
         if kind == "tiny" and n > 10:
             continue
         x = rng.integers(0, 5, n).astype(float) if kind == "ties" else rng.normal(size=n)
@@ -150,3 +150,13 @@ def test_tempered_weights(spark):
     mean = sum(raw.values()) / 2
     assert found == pytest.approx({k: v / mean for k, v in raw.items()})
 
+
+
+@pytest.mark.parametrize("n", [1, 2, 79, 80, 799, 800, 7999, 8000, 100_000])
+def test_quantiles_of_groups_of_any_size_with_ties(spark, n):
+    rng = np.random.default_rng(n)
+    values = np.round(rng.gamma(2, 3, n), 1) * rng.integers(0, 2, n)
+    rows = spark.createDataFrame(pd.DataFrame({"g": 1, "v": values}))
+    probabilities = [0.0, 0.0003, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    found = exact_quantiles(rows, ["g"], {f"q{i}": ("v", p) for i, p in enumerate(probabilities)}).first()
+    assert [found[f"q{i}"] for i in range(len(probabilities))] == pytest.approx(list(np.quantile(values, probabilities)))

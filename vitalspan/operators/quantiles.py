@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from vitalspan.operators.skew import join_per_key, with_single_row
 
 ACCURACY = 10_000
-MARGIN = 0.0005
-SMALL_GROUP = int(4 / MARGIN)
+# Brackets around a probability, from narrow to wide; a group takes the narrowest that is
+# some ranks wide for it, and its whole range where none is.
+MARGINS = [0.0005, 0.005, 0.05]
+LEAST_RANKS = 4
 
 
 def _clamped(p: float) -> float:
@@ -20,8 +22,8 @@ def _clamped(p: float) -> float:
 
 def _brackets(wanted: Mapping[str, tuple[str, float]], column: str) -> list[float]:
     """Probabilities just below and above every wanted quantile of a column."""
-    near = {_clamped(p + side) for c, p in wanted.values() if c == column for side in (-MARGIN, MARGIN)}
-    return sorted(near)
+    sides = [side * m for m in MARGINS for side in (-1, 1)]
+    return sorted({_clamped(p + side) for c, p in wanted.values() if c == column for side in sides})
 
 
 def exact_quantiles(
@@ -30,7 +32,7 @@ def exact_quantiles(
     """One row per group with a column per wanted quantile, linearly interpolated.
 
     ``wanted`` maps an output name to (value column, probability).  A mergeable sketch
-    with a guaranteed rank error brackets each quantile; values below the bracket are
+    with a guaranteed rank error brackets each quantile, for groups of any size alike; values below the bracket are
     only counted and values inside it are counted per distinct value, so the exact
     order statistics are taken from a sliver of each group.  A bracket that misses its
     rank would break the sketch's guarantee and fails the query.
@@ -60,21 +62,19 @@ def exact_quantiles(
     def item(which: int, column: str, value: Column) -> Column:
         return F.struct(F.lit(which).alias("which"), F.col(f"_n_{column}").alias("n"), value.alias("value"))
 
-    def small(column: str) -> Column:
-        return F.col(f"_n_{column}") < SMALL_GROUP
-
     def bracketed(index: int, name: str) -> Column:
         column, p = wanted[name]
         value, near, probes = F.col(column), F.col(f"_near_{column}"), _brackets(wanted, column)
-        below, above = near[probes.index(_clamped(p - MARGIN))], near[probes.index(_clamped(p + MARGIN))]
-        low = F.col(f"_min_{column}") if p <= MARGIN else below
-        high = F.col(f"_max_{column}") if p >= 1 - MARGIN else above
-        return F.when(~small(column) & (value <= high), item(index, column, F.when(value >= low, value)))
-
-    # A small group counts all its values once per column; a large one only its brackets.
-    shared = {c: len(names) + i for i, c in enumerate(columns)}
-    found = [F.when(small(c) & F.col(c).isNotNull(), item(shared[c], c, F.col(c))) for c in columns]
-    found += [bracketed(i, n) for i, n in enumerate(names)]
+        n, low, high = F.col(f"_n_{column}"), F.col(f"_min_{column}"), F.col(f"_max_{column}")
+        for m in reversed(MARGINS):
+            wide = n * F.lit(m) >= LEAST_RANKS
+            if p > m:
+                low = F.when(wide, near[probes.index(_clamped(p - m))]).otherwise(low)
+            if p < 1 - m:
+                high = F.when(wide, near[probes.index(_clamped(p + m))]).otherwise(high)
+        return F.when(value <= high, item(index, column, F.when(value >= low, value)))
+
+    found = [bracketed(i, n) for i, n in enumerate(names)]
     items = F.filter(F.array(*found), lambda x: x.isNotNull())
     exploded = located.select(*keys, F.explode(items).alias("item")).select(*keys, "item.*")
     counted = exploded.groupBy(*keys, "which", "n", "value").agg(F.count(F.lit(1)).alias("_times"))
@@ -87,7 +87,7 @@ def exact_quantiles(
 
     def order_statistics(index: int, name: str) -> list[Column]:
         column, p = wanted[name]
-        own = F.col("which").isin(index, shared[column])
+        own = F.col("which") == index
         rank = F.lit(p) * (F.col("n") - 1)
         at = F.floor(rank)
         next_at = F.least(at + 1, F.col("n") - 1)
