@@ -14,9 +14,9 @@ already).  Which sets meet in a tree is decided in three steps:
 2. *Collapse.*  Survivors with equal minimum hashes meet in a tree.  Every link is verified
    on the whole sets; large groups are cut into chunks, so a family of any size is dealt out.
 3. *Rest.*  What the collapse may have missed lies between different components.  A
-   survivor stays only if enough of its shingles occur in two components; those meet once
-   more under each of the first ``d + 1`` shingles in order of rarity (prefix filter),
-   which loses no link.
+   survivor stays only if enough of its shingles occur in two components; a link needs a
+   common shingle among the first ``d + 1`` of both in order of rarity (prefix filter), so
+   sets that meet there meet in one more tree, which loses no link.
 
 Components are contracted by alternating star steps on written tables.  Shingles are
 64-bit hashes; nothing is dropped, capped or sampled.
@@ -268,11 +268,30 @@ def shared_counts(docs: DataFrame, text: str, gram: int, percent: int, buckets:
         own, group = own[by], group[by]
         once = np.concatenate([[True], (own[1:] != own[:-1]) | (group[1:] != group[:-1])])[: len(own)]
         key, n = np.unique(own[once], return_counts=True)
-        return pa.table({"key": pa.array(key, pa.int64()), "shared": pa.array(n, pa.int64())})
+        # Packed per destination: rows follow the buckets, not buckets times classes.
+        return pa.table(_by_destination(key, n, buckets))
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(k, np.int64) for k in table.column("keys").to_pylist()])
+        counts = np.concatenate([np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist()])
+        key, at = np.unique(keys, return_inverse=True)
+        total = np.bincount(at, weights=counts).astype(np.int64)
+        return pa.table({"key": pa.array(key, pa.int64()), "shared": pa.array(total, pa.int64())})
 
     dealt = docs.select(text_bytes(text)).mapInArrow(deal, _DEALT)
-    found = dealt.groupBy("bucket").applyInArrow(count, "key long, shared long")
-    return found.groupBy("key").agg(F.sum("shared").alias("shared"))
+    found = dealt.groupBy("bucket").applyInArrow(count, "destination int, keys binary, counts binary")
+    return found.groupBy("destination").applyInArrow(add, "key long, shared long")
+
+
+def _by_destination(key: np.ndarray, n: np.ndarray, buckets: int) -> dict:
+    place = (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    parts = [np.flatnonzero(place == b) for b in range(buckets)]
+    used = [(b, p) for b, p in enumerate(parts) if len(p)]
+    return {
+        "destination": pa.array([b for b, _ in used], pa.int32()),
+        "keys": pa.array([key[p].tobytes() for _, p in used], pa.binary()),
+        "counts": pa.array([n[p].astype(np.int64).tobytes() for _, p in used], pa.binary()),
+    }
 
 
 _DEALT = "bucket int, tokens binary, owner binary, keys binary, flags binary"
@@ -341,7 +360,7 @@ def tree_links(groups: DataFrame, gram: int, percent: int) -> DataFrame:
                 continue
             parts = [rows[i]["id"] if rows[i]["part"] is None else rows[i]["part"] for i in kept]
             tree = PrefixTree([sets[i] for i in kept], [rows[i]["id"] for i in kept], parts, percent)
-            links += tree.links()
+            links += _stars(tree.links())
         a, b = zip(*links, strict=True) if links else ((), ())
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -349,6 +368,22 @@ def tree_links(groups: DataFrame, gram: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(search, "a long, b long").where("a <> b").distinct()
 
 
+def _stars(links: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same components, every node linked to the smallest one."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while root.setdefault(i, i) != i:
+            root[i] = root.setdefault(root[i], root[i])
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [(i, find(i)) for i in list(root) if find(i) != i]
+
+
 def collapse_groups(survivors: DataFrame, gram: int) -> DataFrame:
     """Survivors under each of their minimum hashes; large groups are cut by a second one."""
     salts = [np.uint64(0x632BE59BD9B4E019 * (2 * r + 1) % 2**64) for r in range(2 * ROUNDS)]
@@ -437,19 +472,27 @@ def rest_groups(survivors: DataFrame, gram: int, percent: int) -> DataFrame:
     )
     keyed = written(keyed.select("id", "part", F.explode("_prefix.prefix").alias("token")))
     tokens = keyed.groupBy("token").agg(
-        F.count("*").alias("size"), (F.min("part") != F.max("part")).alias("several")
+        F.count("*").alias("size"), F.min("id").alias("least"), (F.min("part") != F.max("part")).alias("several")
     ).where("several")
-    # Large groups meet block against block: every pair shares one of the block pairs.
+    met = written(keyed.join(tokens, "token").select("id", "part", "token", "size", "least"))
+    # Sets that meet under some shingle, directly or through others, are a family: it meets
+    # once as a whole.  Only families too large for one tree meet under each shingle, block
+    # against block, so that every pair shares one of the block pairs.
+    families = components(met.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    sizes = families.groupBy("root").agg(F.count("*").alias("members"))
+    families = families.join(sizes, "root").select(F.col("node").alias("id"), "root", "members")
+    small = families.where(F.col("members") <= REST_SETS).select("id", F.xxhash64("root").alias("grp"))
+    large = families.where(F.col("members") > REST_SETS).select("id")
     blocks = F.ceil(F.col("size") / REST_SETS).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = (
-        keyed.join(tokens, "token")
+        met.join(large, "id")
         .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("id", F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
     )
-    return pairs.join(survivors, "id").select("grp", "id", "part", "body")
+    return small.union(pairs).join(survivors, "id").select("grp", "id", "part", "body")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
