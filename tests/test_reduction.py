@@ -59,8 +59,12 @@ def test_anchor_date_and_uniqueness(spark):
     rows = [("a", second(0), 1.0, 1.0, "G"), ("a", second(3000), 1.0, 1.0, "G")]
     dated = reduction.add_anchor_date(closing(spark, rows))
     assert {str(r["ctg_date"]) for r in dated.collect()} == {"2021-05-02"}
+    checked = quality.require_unique(dated, "BabyID")
+    with pytest.raises(Exception, match="duplicate BabyID"):
+        checked.collect()
+    assert quality.require_unique(dated.limit(1), "BabyID").columns == dated.columns
     with pytest.raises(ValueError):
-        quality.require_unique(dated, "BabyID")
+        ReductionSettings(salt="s", gap_minutes=0)
 
 
 def raw_rows(seed=0):

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from vitalspan.catalog.base import ORACLES, QUERIES, Query
 
-MODULES = ["series", "cohort", "stats", "parsing", "modelling", "signals", "composites"]
+MODULES = ["series", "cohort", "stats", "parsing", "modelling", "signals", "composites", "stages"]
 
 
 def _load() -> None:

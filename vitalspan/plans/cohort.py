@@ -61,12 +61,6 @@ def cohort_report(
     return spark.createDataFrame(lines, REPORT_SCHEMA)
 
 
-def registry_line(spark: SparkSession, registry_csv: str) -> DataFrame:
-    """Rows and distinct subjects of the exported registry table."""
-    rows = tables.read_text_csv(spark, registry_csv, ",")
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("BabyID").alias("babies"))
-
-
 def inspect_raw(rows: DataFrame, patient: str = "PatientID", registration: str = "RegistrationID") -> DataFrame:
     """Row count, distinct patients and registrations, registrations with several patients."""
     conflicts = reports.conflicting_owners(rows, registration, patient).agg(F.count(F.lit(1)).alias("n_conflicts"))

@@ -18,8 +18,8 @@ from vitalspan.sources import sinks, tables
 
 
 def load_splits(spark: SparkSession, settings: StudySettings, registry_csv: str, splits_path: str) -> DataFrame:
-    """The stored splits, made first when there are none."""
-    if not tables.path_exists(spark, splits_path):
+    """The stored splits, made first when there are none or their writing was not finished."""
+    if not tables.path_exists(spark, f"{splits_path.rstrip('/')}/_SUCCESS"):
         registry = tables.read_text_csv(spark, registry_csv, ",").select("BabyID", "apgar5")
         labelled = quality.require_unique(splits.labels(registry, settings.at_risk_max_apgar), "BabyID")
         made = splits.stratified_split(labelled, settings.split)

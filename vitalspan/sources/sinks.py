@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.sources.tables import path_exists
 
 
 def write_stage(df: DataFrame, path: str) -> None:
@@ -37,21 +36,6 @@ def write_partitioned(
     )
 
 
-def write_once(df: DataFrame, path: str, skip_existing: bool = False) -> str:
-    """Write one output directory; returns ``written``, ``skipped`` or ``empty``.
-
-    An output counts as existing only when its success marker is there, and an empty
-    result leaves the earlier output as it is.
-    """
-    spark = df.sparkSession
-    if skip_existing and path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
-        return "skipped"
-    if df.isEmpty():
-        return "empty"
-    write_stage(df, path)
-    return "written"
-
-
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("compression", "zstd").parquet(path)
 
