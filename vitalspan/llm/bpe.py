@@ -38,7 +38,7 @@ LATIN_END = "\u0250"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-_UNSURE = re.compile(rb" (?=[\x09-\x0d\x1c-\x20\xc2\xe1\xe2\xe3]|\Z)")
+UNSURE = re.compile(rb" (?=[\x09-\x0d\x1c-\x20\xc2\xe1\xe2\xe3]|\Z)")
 _CUT = re.compile(r" (?=[^\s])")
 
 
@@ -119,11 +119,11 @@ class ByteBpe:
     def piece(self, raw: bytes) -> list[int]:
         """Tokens of a piece without special tokens."""
         out: list[int] = []
-        for word in self._words(raw.decode("utf-8")):
+        for word in self.split_words(raw.decode("utf-8")):
             out += self.known_words[word]
         return out
 
-    def _words(self, text: str) -> list[str]:
+    def split_words(self, text: str) -> list[str]:
         if max(text, default="") < LATIN_END:
             return self.pattern.findall(text)
         # Beyond Latin the two regex engines know different versions of Unicode: take the
@@ -146,7 +146,7 @@ class ByteBpe:
     def _plain(self, text: bytes) -> list[bytes]:
         if not text:
             return []
-        if _UNSURE.search(text):
+        if UNSURE.search(text):
             first, *rest = _CUT.split(text.decode("utf-8"))
             cut = ([first.encode()] if first else []) + [b" " + p.encode() for p in rest]
             return cut

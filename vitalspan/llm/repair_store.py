@@ -17,6 +17,8 @@ shard; an empty table writes no shard and reads back as no rows.
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -27,15 +29,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vitalspan.llm.bpe import TABLE_ENTRIES, codec
-from vitalspan.llm.common import as_bytes, block_count, shared_folder, text_bytes
+from vitalspan.llm.bpe import LATIN_END, TABLE_ENTRIES, UNSURE, codec
+from vitalspan.llm.common import as_bytes, block_count, shared_folder, span_hashes, text_bytes
 
 SHARD = 1 << 20
 STRIDE = 1024
 END_ID = 2
 LEAST_COUNT = 8
 MOST_PAIRS = 4096
-LEAST_GAIN = 0.01
+LEAST_GAIN = 0.02
+SLOT_BITS = 18
+TEXTS_AT_ONCE = 1024
 RANGE_BYTES = 24 << 20
 
 SCHEMA = (
@@ -54,6 +58,10 @@ def _chosen(first: np.ndarray) -> np.ndarray:
     return first[(np.arange(len(first)) - start) % 2 == 0]
 
 
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule ``i`` rewrites the symbol ``base + i`` into two earlier symbols."""
     symbols, rules = ids.astype(np.uint64), [np.zeros((0, 2), np.uint64)]
@@ -68,10 +76,13 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
             break
         # The most frequent pairs; ties by value, so that a rerun writes the same file.
         often = often[np.lexsort((pairs[often], -count[often]))][:MOST_PAIRS]
-        pairs = np.sort(pairs[often])
-        at = np.searchsorted(pairs, key)
-        at[at == len(pairs)] = 0
-        places = _chosen(np.flatnonzero(pairs[at] == key))
+        # A table by hash finds the pair of every place; of two pairs in one slot the more
+        # frequent is taken now, the other in a later round.
+        pairs = pairs[often]
+        table = np.full(1 << SLOT_BITS, -1, np.int32)
+        table[_slot(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
+        at = table[_slot(key)]
+        places = _chosen(np.flatnonzero((at >= 0) & (pairs[at] == key)))
         used, new = np.unique(at[places], return_inverse=True)
         symbols[places] = np.uint64(base + made) + new.astype(np.uint64)
         keep = np.ones(len(symbols), bool)
@@ -168,25 +179,85 @@ def shard_row(part: int, seq: int, doc_ids: list, sizes: list[int], ids: np.ndar
 
 
 class Encoder:
-    """Tokens of whole texts by the tokenizers library, new pieces of many texts at a time."""
+    """Tokens of whole texts by the tokenizers library.
+
+    Texts are cut where the tokenizer's pattern always cuts, before a space that a word
+    follows.  The pieces of many texts are hashed (64 bits) and numbered together, each
+    distinct piece is looked up once, and its tokens are laid out by array operations.  Two
+    generations of the table are kept: what was not met since the last change of generation
+    is forgotten.  Texts with doubled or odd white space, special tokens or NUL go piece by
+    piece.
+    """
 
     def __init__(self, path: str):
+        # Spark already runs one task per core; a thread pool in each would only wait.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces = codec(path).pieces
-        self.known: dict[bytes, bytes] = {}
+        self.cutter = codec(path)
+        self.plain = self.cutter.special_bytes
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit tokens of each text."""
-        cut = [self.pieces(t) for t in texts]
-        if len(self.known) > TABLE_ENTRIES:
-            self.known = {}
-        new = list({p for own in cut for p in own if p not in self.known})
-        encoded = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in new], add_special_tokens=False)
-        for piece, e in zip(new, encoded, strict=True):
-            self.known[piece] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, own)) for own in cut]
+        odd = [b"\0" in t or bool(UNSURE.search(t)) or any(s in t for s in self.plain) for t in texts]
+        even = iter(self._even([t for t, o in zip(texts, odd, strict=True) if not o]))
+        return [b"".join(self._pieces(self.cutter.pieces(t))) if o else next(even) for t, o in zip(texts, odd, strict=True)]
+
+    def _even(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
+        raw = b"\0" + b"\0".join(texts)  # NUL starts a text, a space every further piece
+        data = np.frombuffer(raw, np.uint8)
+        starts = np.flatnonzero((data == 32) | (data == 0))
+        ends = np.append(starts[1:], len(data))
+        kinds, first, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        found = self._known(kinds.tolist(), raw, starts[first].tolist(), ends[first].tolist())
+        tokens = np.frombuffer(b"".join(found), "<u4")
+        size = np.array([len(f) for f in found], np.int64) // 4
+        low = np.cumsum(size) - size
+        own = size[number]
+        ends = np.cumsum(own)
+        laid = tokens[np.repeat(low[number] - (ends - own), own) + np.arange(ends[-1])]
+        heads = np.flatnonzero(data[starts] == 0)
+        cuts = [*(ends - own)[heads].tolist(), int(ends[-1])]
+        return [laid[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _known(self, kinds: list[int], raw: bytes, starts: list[int], ends: list[int]) -> list[bytes]:
+        """Tokens of each distinct piece."""
+        if len(self.young) > TABLE_ENTRIES // 2:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        young.update({k: old[k] for k in kinds if k not in young and k in old})
+        new = [i for i, k in enumerate(kinds) if k not in young]
+        pieces = [raw[starts[i] : ends[i]].removeprefix(b"\0") for i in new]
+        for i, tokens in zip(new, self._pieces(pieces), strict=True):
+            young[kinds[i]] = tokens
+        return list(map(young.__getitem__, kinds))
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Tokens of pieces, word by word; special tokens are pieces of their own."""
+        if len(self.words) > TABLE_ENTRIES:
+            self.words = {}
+        words = self.words
+        cut = [[p.decode("utf-8")] if p in self.plain else self._cut(p.decode("utf-8")) for p in pieces]
+        new = list({w for own in cut for w in own if w not in words})
+        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            words[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return [b"".join(map(words.__getitem__, own)) for own in cut]
+
+
+    def _cut(self, piece: str) -> list[str]:
+        """Words of a piece; letters, also with a stop or comma behind them, need no pattern."""
+        core = piece[1:] if piece[:1] == " " else piece
+        if core.isalpha() and max(core) < LATIN_END:
+            return [piece]
+        if core[-1:] in (".", ",") and core[:-1].isalpha() and max(core) < LATIN_END:
+            return [piece[:-1], core[-1]]
+        return self.cutter.split_words(piece)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -202,8 +273,9 @@ def _write_shards(path: str, end_id: int, shard: int):
         size = 0
         for batch in batches:
             found, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for a in range(0, len(texts), 256):
-                for doc, body in zip(found[a : a + 256], _ENCODERS[path].encode(texts[a : a + 256]), strict=True):
+            for a in range(0, len(texts), TEXTS_AT_ONCE):
+                few = slice(a, a + TEXTS_AT_ONCE)
+                for doc, body in zip(found[few], _ENCODERS[path].encode(texts[few]), strict=True):
                     ids.append(doc)
                     bodies.append(body + end)
                     size += len(bodies[-1])
