@@ -12,6 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 from check import TABLES, compare  # noqa: E402
+from vitalspan.catalog import all_oracles, all_queries  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -32,7 +33,8 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) - set(oracle_sql()) == {"baseline_classifier"}
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(queries()) and set(all_oracles()) <= set(oracle_sql())
 
 
 def test_entry_returns_rows(spark):
