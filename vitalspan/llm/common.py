@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 _WORD_TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
+PORTION_BYTES = 8 << 20
 _LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -59,16 +60,25 @@ def annotate(df: DataFrame, inputs: Sequence[Column], fn: Callable, schema: str,
     def batch(*arrays: pa.Array) -> pa.Array:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        kind = to_arrow_type(struct)
-        columns = fn(*arrays)
-        fields = [pa.array(columns[f.name], f.type) for f in kind]
-        return pa.StructArray.from_arrays(fields, fields=list(kind))
+        kind, parts = to_arrow_type(struct), []
+        for low, rows in slices(arrays[0], sum(a.nbytes for a in arrays)):
+            columns = fn(*[a.slice(low, rows) for a in arrays])
+            fields = [pa.array(columns[f.name], f.type) for f in kind]
+            parts.append(pa.StructArray.from_arrays(fields, fields=list(kind)))
+        return pa.concat_arrays(parts)
 
     # The annotations tell Spark which flavour of function this is.
     batch.__annotations__ = {"arrays": pa.Array, "return": pa.Array}
     return df.withColumn(name, F.arrow_udf(batch, struct)(*inputs))
 
 
+def slices(rows: pa.Array | pa.RecordBatch, nbytes: int) -> list[tuple[int, int]]:
+    """(start, rows) of portions of about ``PORTION_BYTES``, so that few texts are copied at a time."""
+    n = len(rows) if isinstance(rows, pa.Array) else rows.num_rows
+    step = max(1, n * PORTION_BYTES // max(1, nbytes))
+    return [(low, min(step, n - low)) for low in range(0, max(n, 1), step)]
+
+
 def text_bytes(column: str = "text") -> Column:
     return F.col(column).cast("string").cast("binary")
 

@@ -44,6 +44,7 @@ from vitalspan.llm.common import (
     free_name,
     lower_ascii,
     mix,
+    slices,
     span_hashes,
     text_bytes,
     written,
@@ -239,10 +240,11 @@ def shared_counts(docs: DataFrame, text: str, gram: int, percent: int, buckets:
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[int, tuple[np.ndarray, int]] = {}
-            for tokens in shingle_sets(as_bytes(batch.column(0)), gram):
-                if len(tokens):
-                    key = _short_key(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                    seen.setdefault(key, (stand_ins(tokens, percent, True), len(tokens)))
+            for low, rows in slices(batch, batch.nbytes):
+                for tokens in shingle_sets(as_bytes(batch.column(0).slice(low, rows)), gram):
+                    if len(tokens):
+                        key = _short_key(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
+                        seen.setdefault(key, (stand_ins(tokens, percent, True), len(tokens)))
             if not seen:
                 continue
             keys = np.array(list(seen), np.int64)

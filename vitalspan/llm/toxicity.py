@@ -40,6 +40,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 14_000
 CHANCE = 1e-5  # a term's documents are all toxic by chance with at most this probability
 PRECISION = 0.85
 MOST_TERMS = 5000
+KNOWN_WORDS = 100_000
 FUZZY_LENGTH = 5
 QUOTED, ALONE, NEAR = 0.3, 1.0, 1.25
 CONTEXT_BYTES = 80
@@ -252,7 +253,7 @@ def _hits(model: Model):
 
     def batch(texts):
         if "known" not in state:
-            state["known"] = Table(Lexicon(model.terms, model.fuzzy).lookup)
+            state["known"] = Table(Lexicon(model.terms, model.fuzzy).lookup, KNOWN_WORDS)
         out = {"exact": [], "near": [], "n_words": [], "terms": [], "score": []}
         for text in as_bytes(texts):
             exact, near, n_words, terms = weighted_hits(text, state["known"])
