@@ -8,9 +8,9 @@ that no fixed rule fits.  A rule that a shorter one of no less confidence implie
 dropped.  At matching, an inverted index lists each rule under its rarest token, so a URL
 looks only at rules that one of its tokens names.
 
-Support bounds the rules: with minimum support ``s`` a token set must occur in a share ``s``
-of all labelled URLs, whatever their number.  More than ``MOST_RULES`` rules are an error,
-not cut off.
+Support bounds the rules: a token set must occur in a share ``SUPPORT`` of all labelled URLs
+and in ``LEAST_URLS`` of them.  Should more than ``MOST_RULES`` rules come out, the support is
+doubled until they fit; rules are never cut off.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and fits no
 rule; without any matching mined rule, or without labelled URLs, the verdict is ``allow``;
@@ -31,7 +31,7 @@ from vitalspan.llm.common import annotate, free_name
 
 SUPPORT = 0.005
 CONFIDENCE = 0.8
-MOST_TOKENS = 12
+LEAST_URLS = 20
 MOST_RULES = 20_000
 ALLOW, BLOCK = "allow", "block"
 LABELS = ("verdict=allow", "verdict=block")
@@ -66,10 +66,10 @@ def fitting_rule(host: Column, path: Column, rules: Iterable[tuple[str, str, str
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a URL, at most ``MOST_TOKENS`` of each kind."""
+    """Distinct tokens of a URL."""
 
     def named(kind: str, parts: Column) -> Column:
-        kept = F.slice(F.filter(parts, lambda p: p != ""), 1, MOST_TOKENS)
+        kept = F.filter(parts, lambda p: p != "")
         return F.transform(kept, lambda p: F.concat(F.lit(kind), p))
 
     segments = F.split(path, "/")
@@ -133,15 +133,18 @@ def pruned(rows: Iterable[tuple[Iterable[str], str, float, float]]) -> list[tupl
 def mine(labelled: DataFrame, *, support: float = SUPPORT, confidence: float = CONFIDENCE) -> Rules:
     """Rules from rows of items (array of tokens) and verdict."""
     baskets = labelled.select(F.array_append("items", F.concat(F.lit("verdict="), "verdict")).alias("items"))
-    if baskets.isEmpty():
-        return Rules()
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0].isin(list(LABELS)))
-    rows = rules.select("antecedent", F.col("consequent")[0].alias("label"), "confidence", "support").limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules: raise the support")
-    found = [(r.antecedent, r.label.removeprefix("verdict="), r.confidence, r.support) for r in rows]
-    return Rules(pruned(found))
+    n = baskets.count()
+    support = max(support, LEAST_URLS / max(n, 1))
+    while n and support <= 1:
+        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+        rules = model.associationRules.where(F.col("consequent")[0].isin(list(LABELS)))
+        rows = rules.select("antecedent", F.col("consequent")[0].alias("label"), "confidence", "support")
+        rows = rows.limit(MOST_RULES + 1).collect()
+        if len(rows) <= MOST_RULES:
+            found = [(r.antecedent, r.label.removeprefix("verdict="), r.confidence, r.support) for r in rows]
+            return Rules(pruned(found))
+        support *= 2
+    return Rules()
 
 
 def judged(
