@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from itertools import combinations
@@ -84,3 +85,32 @@ def test_empty_table_and_clashing_names(spark):
     rows = [(1, "http://x.org/a", "x", "y"), (1, "http://x.org/a", "x", "y")]
     got = judged(spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")).collect()
     assert len(got) == 2 and got[0] == got[1] and got[0].verdict == "allow"
+
+
+def test_many_rules_keep_the_support(spark):
+    """16 tokens that always occur together have 65,535 antecedents, more than were once allowed."""
+    together = [f"t{k}" for k in range(16)]
+    rows = [([*together, f"p{i}"], "block") for i in range(30)]
+    rows += [(["b", "c"] if i % 2 else ["b"], "allow" if i % 2 else "block") for i in range(60)]
+    got = mine(spark.createDataFrame(rows, "items array<string>, verdict string"), support=0.2)
+    assert {(s, v) for s, v, *_ in got.found} == {(frozenset([t]), "block") for t in together} | {(frozenset("c"), "allow")}
+    assert got.judge({"t7", "new"}) == "block" and got.judge({"b", "c"}) == "allow"
+
+
+def test_implied_and_mixed_tokens_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(400):
+        items = {t for t, share in zip("abcdef", (0.9, 0.6, 0.5, 0.5, 0.4, 0.3), strict=True) if rng.random() < share} | {"all"}
+        items |= {"x"} if "a" in items else set()
+        items |= {"y", "z"} if {"b", "c"} <= items else set()
+        rows.append((sorted(items), "block" if (len(items & set("bde")) + (rng.random() < 0.1)) % 2 else "allow"))
+    sets, labelled = Counter(), Counter()
+    for items, v in rows:
+        for k in range(1, len(items) + 1):
+            for c in combinations(items, k):
+                sets[frozenset(c)] += 1
+                labelled[frozenset(c), v] += 1
+    want = [(s, v, n / sets[s], n / len(rows)) for (s, v), n in labelled.items() if n >= 20 and n / sets[s] >= 0.6]
+    got = mine(spark.createDataFrame(rows, "items array<string>, verdict string"), support=0.05, confidence=0.6)
+    assert set(got.found) == set(pruned(want)) and max(len(s) for s, *_ in got.found) > 2

@@ -1,16 +1,21 @@
 """URL filters: fixed rules first, then association rules mined from what they decide.
 
 A fixed rule names a host and the start of a path; it fits the host and its subdomains, and
-the longest fitting rule wins.  Its verdicts are labels: FP-growth on Spark mines
-combinations of URL tokens (host parts, path parts, file ending, query keys) together with
-the label, and rules "tokens -> verdict" of enough support and confidence judge the URLs
-that no fixed rule fits.  A rule that a shorter one of no less confidence implies is
-dropped.  At matching, an inverted index lists each rule under its rarest token, so a URL
-looks only at rules that one of its tokens names.
+the longest fitting rule wins.  Its verdicts are labels: combinations of URL tokens (host
+parts, path parts, file ending, query keys) are mined together with the label, and rules
+"tokens -> verdict" of enough support and confidence judge the URLs that no fixed rule
+fits.  A rule that a shorter one of no less confidence implies is dropped.  At matching, an
+inverted index lists each rule under its rarest token, so a URL looks only at rules that one
+of its tokens names.
 
-Support bounds the rules: a token set must occur in a share ``SUPPORT`` of all labelled URLs
-and in ``LEAST_URLS`` of them.  Should more than ``MOST_RULES`` rules come out, the support is
-doubled until they fit; rules are never cut off.
+Support bounds the rules, at every size the same: a token set must occur with a verdict in a
+share ``SUPPORT`` of all labelled URLs and in ``LEAST_URLS`` of them.  There is no bound on the
+number of rules.
+
+Mining goes level by level over the distinct sets of frequent tokens.  Only sets that a rule
+could still come from are extended: no token may be dropped without more URLs fitting (k
+tokens that always occur together are k sets, not 2^k), and the URLs must have different
+verdicts.  All other sets have rules that a shorter rule implies, and so do all larger ones.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and fits no
 rule; without any matching mined rule, or without labelled URLs, the verdict is ``allow``;
@@ -19,22 +24,23 @@ repeated rows get equal verdicts.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.ml.fpm import FPGrowth
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalspan.llm.common import annotate, free_name
+from vitalspan.llm.common import annotate, free_name, written
 
 SUPPORT = 0.005
 CONFIDENCE = 0.8
 LEAST_URLS = 20
-MOST_RULES = 20_000
+PORTION_SETS = 200_000
 ALLOW, BLOCK = "allow", "block"
-LABELS = ("verdict=allow", "verdict=block")
+VERDICTS = (ALLOW, BLOCK)
 
 # Verdict, host, start of the path.
 RULES = [
@@ -130,21 +136,96 @@ def pruned(rows: Iterable[tuple[Iterable[str], str, float, float]]) -> list[tupl
     return [(items, *rest) for items, rest in kept.items()]
 
 
+def candidates(tree: dict, known: frozenset[tuple[int, ...]], depth: int, items: list[int]) -> Iterator[tuple[int, ...]]:
+    """Sets of ``depth + 1`` of the sorted items of which every set of ``depth`` is known.
+
+    ``tree`` holds the known sets as paths.
+    """
+
+    def walk(node: dict, at: int, path: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        here = [(i, t) for i, t in enumerate(items[at:], at) if t in node]
+        if len(path) < depth - 1:
+            for i, t in here:
+                yield from walk(node[t], i + 1, (*path, t))
+            return
+        for n, (_, first) in enumerate(here):
+            for _, second in here[n + 1 :]:
+                own = (*path, first, second)
+                if all(own[:k] + own[k + 1 :] in known for k in range(depth - 1)):
+                    yield own
+
+    return walk(tree, 0, ())
+
+
+def _counted(baskets: DataFrame, known: Iterable[tuple[int, ...]], depth: int, least: int) -> dict[tuple[int, ...], list[int]]:
+    """URLs (all, allowed, blocked) of every frequent set of ``depth + 1`` tokens with only known sets below it."""
+    known, tree = frozenset(known), {}
+    for path in known:
+        node = tree
+        for t in path:
+            node = node.setdefault(t, {})
+    names = ["n", *VERDICTS]
+    schema = "tokens array<int>, " + ", ".join(f"{v} long" for v in names)
+
+    def portion(counts: dict) -> pa.RecordBatch:
+        columns = [pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.list_(pa.int32())), *columns], ["tokens", *names])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, ...], list[int]] = {}
+        for batch in batches:
+            for items, *own in zip(*(batch.column(c).to_pylist() for c in ("ids", *names)), strict=True):
+                for c in candidates(tree, known, depth, items):
+                    have = counts.setdefault(c, [0] * len(own))
+                    for k, v in enumerate(own):
+                        have[k] += v
+                if len(counts) >= PORTION_SETS:
+                    yield portion(counts)
+                    counts = {}
+        yield portion(counts)
+
+    sums = baskets.mapInArrow(count, schema).groupBy("tokens").agg(*[F.sum(v).alias(v) for v in names])
+    return {tuple(r[0]): list(r[1:]) for r in sums.where(F.greatest(*VERDICTS) >= least).collect()}
+
+
 def mine(labelled: DataFrame, *, support: float = SUPPORT, confidence: float = CONFIDENCE) -> Rules:
     """Rules from rows of items (array of tokens) and verdict."""
-    baskets = labelled.select(F.array_append("items", F.concat(F.lit("verdict="), "verdict")).alias("items"))
-    n = baskets.count()
-    support = max(support, LEAST_URLS / max(n, 1))
-    while n and support <= 1:
-        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-        rules = model.associationRules.where(F.col("consequent")[0].isin(list(LABELS)))
-        rows = rules.select("antecedent", F.col("consequent")[0].alias("label"), "confidence", "support")
-        rows = rows.limit(MOST_RULES + 1).collect()
-        if len(rows) <= MOST_RULES:
-            found = [(r.antecedent, r.label.removeprefix("verdict="), r.confidence, r.support) for r in rows]
-            return Rules(pruned(found))
-        support *= 2
-    return Rules()
+    n = labelled.count()
+    least = max(math.ceil(support * n), LEAST_URLS)
+    urls = [F.count("*").alias("n"), *[F.count_if(F.col("verdict") == v).alias(v) for v in VERDICTS]]
+    single = labelled.select(F.explode(F.array_distinct("items")).alias("token"), "verdict").groupBy("token").agg(*urls)
+    frequent = sorted(single.where(F.greatest(*VERDICTS) >= least).collect(), key=lambda r: (r.n, r.token))
+    names = [r.token for r in frequent]
+    number = {t: i for i, t in enumerate(names)}
+
+    def batch(items):
+        return {"ids": [sorted({number[t] for t in row if t in number}) for row in items.to_pylist()]}
+
+    name = free_name(labelled.columns, "_known")
+    known = annotate(labelled.where("items IS NOT NULL"), [F.col("items")], batch, "ids array<int>", name)
+    known = known.select(F.col(name)["ids"].alias("ids"), "verdict")
+    baskets = written(known.groupBy("ids").agg(*urls)) if frequent else None
+
+    found, depth = [], 1
+    level = {(i,): list(r[1:]) for i, r in enumerate(frequent)}
+    # Of the sets one token shorter: their counts, and the highest confidence of themselves and what they contain.
+    below: dict[tuple[int, ...], tuple[list[int], list[float]]] = {}
+    while level:
+        kept = {}
+        for own, counts in level.items():
+            parts = [below[own[:k] + own[k + 1 :]] for k in range(depth)] if depth > 1 else []
+            if any(have[0] == counts[0] for have, _ in parts):
+                continue
+            best = [max((b[v] for _, b in parts), default=-1.0) for v in range(len(VERDICTS))]
+            shares = [c / counts[0] for c in counts[1:]]
+            for v, verdict in enumerate(VERDICTS):
+                if counts[v + 1] >= least and shares[v] >= confidence and shares[v] > best[v]:
+                    found.append((frozenset(names[t] for t in own), verdict, shares[v], counts[v + 1] / n))
+            if max(shares) < 1:
+                kept[own] = (counts, [max(pair) for pair in zip(best, shares, strict=True)])
+        level = _counted(baskets, kept, depth, least) if len(kept) > 1 else {}
+        below, depth = kept, depth + 1
+    return Rules(found)
 
 
 def judged(
