@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from vitalspan.llm.licenses import TEMPLATES, Scanner, compile_template, parse, scan, template_pattern
+from vitalspan.llm.licenses import FULL, PARTIAL, TEMPLATES, Scanner, compile_template, parse, scan, template_pattern
 from vitalspan.llm.common import alnum_words
 
 TEMPLATE = "grant of rights <<beginOptional>>to all <<beginOptional>>of<<endOptional>> you<<endOptional>> by <<var;max=2>> holder"
@@ -77,3 +77,19 @@ def test_places_and_scores(spark, no_docs, clashing):
     assert by[5]["n_base"] == 0 and len(got) == 6
     assert scan(no_docs).count() == 0
     assert scan(clashing).count() == 3
+
+
+def test_full_needs_the_last_word_of_the_licence():
+    scanner = Scanner({}, TEMPLATES)
+    full = {name: t for name, score, t in TEMPLATES if score == FULL}
+    assert {"mit", "isc", "zlib", "unlicense", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause"} == set(full)
+    for name, template in full.items():
+        words = re.sub("<<.*?>>", " ", template).split()
+        family = name.split("-")[0]
+        whole = scanner.scan(" ".join(words).encode())
+        assert (set(whole["labels"].split(",")), whole["score"]) == ({name, family}, 1.0)
+        for cut in (words[:-1], [*words[:-9], "only", *words[-9:]]):
+            got = scanner.scan(" ".join(cut).encode())
+            assert (got["labels"], got["score"]) == (family, PARTIAL)
+    extra = full["mit"].replace("THE SOFTWARE IS PROVIDED", "The Software shall be used for Good, not Evil. THE SOFTWARE IS PROVIDED")
+    assert scanner.scan(re.sub("<<.*?>>", " ", extra).encode())["score"] == PARTIAL

@@ -13,8 +13,10 @@ exactly.  Case, punctuation and white space do not matter, since words are
 
 Besides templates, phrases of a fixed list are counted at every place they stand.
 
-Score: ``FULL`` when a whole licence text is accepted, ``NOTICE`` for a licence notice,
-``PHRASE`` when only phrases stand, else 0.
+Score: ``FULL`` when a whole licence text is accepted, to the last word of its disclaimer or
+conditions, ``NOTICE`` for a licence notice, ``PARTIAL`` for the opening of a licence text whose
+rest is missing or changed, ``PHRASE`` when only phrases stand, else 0.  The opening that the
+BSD licences share has the label of the family.  Apache and GPL have notices only.
 
 Defined cases: null and empty texts have no words and score 0; overlapping places all
 count; repeated rows get equal results.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.llm.common import alnum_words, annotate, as_bytes, text_bytes
 
-FULL, NOTICE, PHRASE = 1.0, 0.9, 0.5
+FULL, NOTICE, PARTIAL, PHRASE = 1.0, 0.9, 0.7, 0.5
 
 # Phrases and their labels.
 PHRASES = {
@@ -40,47 +42,71 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Public licence wording.  label, score, template.
+# Public licence wording.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;max=4>> software and
+    associated documentation files (the <<var;max=1>> Software <<var;max=1>>), to deal in the Software without
+    restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+    sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do
+    so, subject to the following conditions: The above copyright notice and this permission notice
+    <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial
+    portions of the Software."""
+_MIT_DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+    LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+    SHALL <<var;max=12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+    OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+    hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
+_ISC_DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS" AND <<var;max=12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
+    SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;max=12>> BE LIABLE
+    FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE,
+    DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+    CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+    the following conditions are met: <<var;max=1>> Redistributions of source code must retain the above copyright
+    notice, this list of conditions and the following disclaimer. <<var;max=1>> Redistributions in binary form must
+    reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+    and/or other materials provided with the distribution."""
+_BSD_ADVERTISING = """<<var;max=1>> All advertising materials mentioning features or use of this software must display
+    the following <<var;max=1>> This product includes software developed by <<var;max=20>>"""
+_BSD_NAMES = """<<var;max=1>> Neither the name of <<var;max=12>> nor the names of <<var;max=2>> contributors may be used
+    to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<var;max=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+    BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN
+    NO EVENT SHALL <<var;max=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+    DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+    BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+    (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+    POSSIBILITY OF SUCH DAMAGE."""
+_ZLIB = """This software is provided as is, without any express or implied warranty. In no event will the authors be
+    held liable for any damages arising from the use of this software. Permission is granted to anyone to use this
+    software for any purpose, including commercial applications, and to alter it and redistribute it freely"""
+_ZLIB_RESTRICTIONS = """, subject to the following restrictions: <<var;max=1>> The origin of this software must not be
+    misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+    <<var;max=1>> in the product documentation would be appreciated but is not required. <<var;max=1>> Altered source
+    versions must be plainly marked as such, and must not be misrepresented as being the original software. <<var;max=1>>
+    This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+    publish, use, compile, sell, or distribute this software"""
+_UNLICENSE_REST = """, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial,
+    and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any
+    and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public
+    at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+    relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+
+# label, score, template.
 TEMPLATES = [
-    (
-        "mit",
-        FULL,
-        """Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;max=4>> software and
-        associated documentation files (the <<var;max=1>> Software <<var;max=1>>), to deal in the Software without
-        restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
-        sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do
-        so, subject to the following conditions: The above copyright notice and this permission notice
-        <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial
-        portions of the Software.""",
-    ),
-    (
-        "isc",
-        FULL,
-        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-        hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    ),
-    (
-        "bsd-2-clause",
-        FULL,
-        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
-        the following conditions are met: <<var;max=1>> Redistributions of source code must retain the above copyright
-        notice, this list of conditions and the following disclaimer. <<var;max=1>> Redistributions in binary form must
-        reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
-        and/or other materials provided with the distribution.""",
-    ),
-    (
-        "zlib",
-        FULL,
-        """This software is provided as is, without any express or implied warranty. In no event will the authors be
-        held liable for any damages arising from the use of this software. Permission is granted to anyone to use this
-        software for any purpose, including commercial applications, and to alter it and redistribute it freely""",
-    ),
-    (
-        "unlicense",
-        FULL,
-        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
-        publish, use, compile, sell, or distribute this software""",
-    ),
+    ("mit", FULL, f"{_MIT} {_MIT_DISCLAIMER}"),
+    ("mit", PARTIAL, _MIT),
+    ("isc", FULL, f"{_ISC} {_ISC_DISCLAIMER}"),
+    ("isc", PARTIAL, _ISC),
+    ("bsd-2-clause", FULL, f"{_BSD} {_BSD_DISCLAIMER}"),
+    ("bsd-3-clause", FULL, f"{_BSD} {_BSD_NAMES} {_BSD_DISCLAIMER}"),
+    ("bsd-4-clause", FULL, f"{_BSD} {_BSD_ADVERTISING} {_BSD_NAMES} {_BSD_DISCLAIMER}"),
+    ("bsd", PARTIAL, _BSD),
+    ("zlib", FULL, f"{_ZLIB} {_ZLIB_RESTRICTIONS}"),
+    ("zlib", PARTIAL, _ZLIB),
+    ("unlicense", FULL, f"{_UNLICENSE} {_UNLICENSE_REST} {_MIT_DISCLAIMER}"),
+    ("unlicense", PARTIAL, _UNLICENSE),
     (
         "apache-2",
         NOTICE,
