@@ -101,3 +101,26 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
     assert components(links.limit(0)).count() == 0
+
+
+def test_family_of_near_copies_is_dealt_out(spark, monkeypatch):
+    """Near copies share the second minimum hash too; parts by id stay small and one component."""
+    from pyspark.sql import functions as F
+
+    from vitalspan.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "TREE_SETS", 8)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(80):
+        words = list(base)
+        words[(i * 3 + 7) % 300] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    body = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("body"))
+    for bound, most in (("TREE_SETS", 8), ("TREE_BYTES", 8 * len(rows[0][1]))):
+        with monkeypatch.context() as m:
+            m.setattr(ngram_join, "TREE_SETS", 10**6)
+            m.setattr(ngram_join, bound, most)
+            groups = ngram_join.collapse_groups(body, 4).groupBy("grp").count().collect()
+            assert max(r["count"] for r in groups) <= 24
+    assert {r.component_id for r in ngram_join.near_duplicates(docs).collect()} == {0}

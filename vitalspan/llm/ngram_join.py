@@ -12,7 +12,9 @@ already).  Which sets meet in a tree is decided in three steps:
    and those of a single class are found; a class with more than ``d`` of them cannot have
    a partner and is done.  Only counts travel back.
 2. *Collapse.*  Survivors with equal minimum hashes meet in a tree.  Every link is verified
-   on the whole sets; large groups are cut into chunks, so a family of any size is dealt out.
+   on the whole sets.  Large groups are cut by a second minimum hash, and what still exceeds
+   the bounds in sets or bytes by a hash of the id, so a family of any size is dealt out;
+   each of these parts also has the smallest id of all, which links them.
 3. *Rest.*  What the collapse may have missed lies between different components.  A
    survivor stays only if enough of its shingles occur in two components; a link needs a
    common shingle among the first ``d + 1`` of both in order of rarity (prefix filter), so
@@ -56,6 +58,7 @@ SAMPLE_BOUND = np.uint64(int(0.3 * 2**64))  # shingles below it stand for the se
 SMALL_SET = 128  # sets up to this size are represented by all their shingles
 ROUNDS = 2
 TREE_SETS = 1024  # sets of one collapse group before it is cut into chunks
+TREE_BYTES = 16 << 20  # and their bytes of text
 REST_SETS = 1500
 PIECE = 1 << 20
 
@@ -387,7 +390,7 @@ def _stars(links: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def collapse_groups(survivors: DataFrame, gram: int) -> DataFrame:
-    """Survivors under each of their minimum hashes; large groups are cut by a second one."""
+    """Survivors under each of their minimum hashes; large groups are cut by a second one, then by id."""
     salts = [np.uint64(0x632BE59BD9B4E019 * (2 * r + 1) % 2**64) for r in range(2 * ROUNDS)]
 
     def batch(texts):
@@ -398,11 +401,18 @@ def collapse_groups(survivors: DataFrame, gram: int) -> DataFrame:
         return out
 
     keyed = annotate(survivors, [F.col("body")], batch, "keys array<array<long>>", "_keys")
-    keyed = written(keyed.select("id", F.explode("_keys.keys").alias("k")))
-    keyed = keyed.select("id", F.xxhash64(F.col("k")[0], F.col("k")[1]).alias("least"), F.col("k")[2].alias("second"))
+    keyed = written(keyed.select("id", F.octet_length("body").cast("long").alias("bytes"), F.explode("_keys.keys").alias("k")))
+    least = F.xxhash64(F.col("k")[0], F.col("k")[1])
+    keyed = keyed.select("id", "bytes", least.alias("least"), F.col("k")[2].alias("second"))
     sizes = keyed.groupBy("least").agg(F.count("*").alias("size")).where("size > 1")
     chunk = F.pmod(F.xxhash64("second"), F.ceil(F.col("size") / TREE_SETS))
-    chosen = keyed.join(sizes, "least").select("id", F.xxhash64("least", chunk).alias("grp"))
+    chunked = written(keyed.join(sizes, "least").select("id", "bytes", F.xxhash64("least", chunk).alias("chunk")))
+    needed = F.ceil(F.greatest(F.count("*") / TREE_SETS, F.sum("bytes") / TREE_BYTES, F.lit(1.0)))
+    cuts = chunked.groupBy("chunk").agg(needed.cast("int").alias("cuts"), F.min("id").alias("head"))
+    dealt = chunked.join(cuts, "chunk").where("cuts = 1 OR id <> head")
+    dealt = dealt.select("id", F.xxhash64("chunk", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).alias("grp"))
+    heads = cuts.where("cuts > 1").select(F.col("head").alias("id"), "chunk", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
+    chosen = dealt.union(heads.select("id", F.xxhash64("chunk", "cut").alias("grp")))
     return chosen.join(survivors, "id").select("grp", "id", F.lit(None).cast("long").alias("part"), "body")
 
 
