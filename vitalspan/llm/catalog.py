@@ -12,6 +12,7 @@ from vitalspan.llm import (
     licenses,
     ngram_join,
     order_minhash,
+    prefix_trie,
     quality_cnn,
     repair_store,
     suffix_dedup,
@@ -209,3 +210,51 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL by fixed rules, then by mined ones."""
     return url_rules.judged(table(spark, sf_dir, "pages"))
+
+
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(c) + 1), lambda i: CAST(ascii(c[i]) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+      lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+_OP13_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS size,
+    md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL
+), lists AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS c, list(digest || ':' || size ORDER BY turn NULLS FIRST, digest) AS s
+  FROM t GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, s, {_CRC} % 9 AS h FROM lists
+), rebuilt AS (
+  SELECT heads.conv_id, list_concat(coalesce(base.s[1:h], []), heads.s[h + 1:]) AS s
+  FROM heads LEFT JOIN lists base ON base.conv_id = heads.conv_id - heads.conv_id % 5
+), prefixes AS (
+  SELECT conv_id, len(s) AS n, s[1:d] AS p, d FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT p, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY p
+), placed AS (
+  SELECT v.*, u.conv_id AS parent_conv_id, u.p AS above
+  FROM nodes v LEFT JOIN nodes u ON v.depth > 0 AND u.p = v.p[1:v.depth - 1]
+), children AS (
+  SELECT above AS p, count(*) AS n_children FROM placed WHERE depth > 0 GROUP BY above
+), own AS (
+  SELECT p, depth, n_children IS NULL AS leaf,
+    CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * CAST(split_part(p[depth], ':', 2) AS BIGINT) END AS saved
+  FROM placed LEFT JOIN children USING (p)
+), below AS (
+  SELECT p[1:d] AS p, count(*) FILTER (leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT p, leaf, saved, unnest(range(0, depth + 1)) AS d FROM own) GROUP BY 1
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  saved_tokens, ends_sha256
+FROM placed LEFT JOIN children USING (p) JOIN below USING (p)
+"""
+
+
+@query("op13_prefix_trie", _OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all rebuilt conversations, by ROLLUP over positional turn columns."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
