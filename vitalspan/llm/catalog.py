@@ -9,6 +9,7 @@ from vitalspan.catalog.base import Query, table
 from vitalspan.llm import (
     bpe,
     decontaminate,
+    hard_negatives,
     licenses,
     ngram_join,
     order_minhash,
@@ -258,3 +259,33 @@ FROM placed LEFT JOIN children USING (p) JOIN below USING (p)
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of all rebuilt conversations, by ROLLUP over positional turn columns."""
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+_OP12_SQL = """
+WITH e AS (
+  SELECT vec_id, min({'l': CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END,
+    'v': list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))}) AS r
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.r.l = b.r.l AS same, CAST(list_dot_product(a.r.v, b.r.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+@query("op12_hard_negatives", _OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, by threshold joins on a suffix-norm index."""
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
