@@ -11,6 +11,7 @@ from vitalspan.llm import (
     decontaminate,
     hard_negatives,
     licenses,
+    minhash_dedup,
     ngram_join,
     order_minhash,
     prefix_trie,
@@ -114,12 +115,16 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
 
 
-_OP8_SQL = rf"""
+
+
+def _near_sql(gram: int, more: str = "") -> str:
+    """Components of documents whose shingle sets reach 85 percent, by comparing every pair that shares one."""
+    return rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + {gram - 1}), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {gram - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)
 ), n AS (
   SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
 ), links AS (
@@ -133,12 +138,12 @@ WITH RECURSIVE d AS (
   UNION
   SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
 )
-SELECT d.doc_id, coalesce(any_value(n.size), 0) AS n_shingles, min(reach.y) AS component_id
+SELECT d.doc_id, coalesce(any_value(n.size), 0) AS n_shingles, min(reach.y) AS component_id{more}
 FROM d JOIN reach ON reach.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
-@query("op8_ngram_join", _OP8_SQL)
+@query("op8_ngram_join", _near_sql(4))
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near copies by 4-word shingles and Jaccard 0.85."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
@@ -289,3 +294,9 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector, by threshold joins on a suffix-norm index."""
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_minhash_dedup", _near_sql(5, ", d.doc_id = min(reach.y) AS kept"))
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies by 5-word shingles, from MinHash bands and odd sketches."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
