@@ -13,9 +13,10 @@ Pairs of a bucket are never all listed:
 1. *Leaders.*  One class of each bucket, chosen by a hash, meets the others; each class is tested
    against the leader with the nearest sketch.  Confirmed links are contracted to components and
    other leaders are chosen.  A leader's tests are dealt over as many tasks as it has tests.
-2. *Rest.*  In a bucket that still holds several components, the classes outside its most
-   frequent component meet all its classes, block against block, by sketch first; only what has a
-   near sketch in another component is compared by its whole set.
+2. *Rest.*  Buckets that still hold several components meet once more, together with those that
+   share their classes where that moves fewer rows.  The classes outside the most frequent component
+   meet all classes, block against block, by sketch first; only what has a near sketch in another
+   component is compared by its whole set.
 
 Defined cases: null, empty and wordless texts have an empty set, link with nothing and are their
 own component; texts under five words are one shingle; repeated rows share a component; rows
@@ -205,30 +206,53 @@ def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
 def open_groups(met: DataFrame, members: DataFrame) -> DataFrame:
     """grp, id, asks: classes of buckets with several components, block against block.
 
-    The classes outside the bucket's most frequent component ask, all its classes answer; of
-    buckets with the same classes one is taken.
+    Buckets that share a class are a family.  A family meets once as a whole where that moves
+    fewer rows than meeting in each of its buckets.  In what meets, the classes outside the most
+    frequent component ask, and all classes answer.
     """
     placed = met.select("bucket", "id").join(members.select("id", "part", "n"), "id")
-    parts = placed.groupBy("bucket", "part").agg(
-        F.count("*").alias("size"), F.sum("n").alias("shingles"), F.sum(F.shiftright(F.xxhash64("id"), 24)).alias("mark")
+    several = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("id").alias("head"))
+    rows = written(placed.join(several.where("low <> high").select("bucket", "head"), "bucket"))
+    families = components(rows.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
+    rows = written(rows.join(families, rows.id == families.node).select("root", "bucket", "id", "part", "n"))
+    whole = rows.groupBy("root", "id").agg(F.first("part").alias("part"), F.first("n").alias("n"))
+
+    by_bucket, by_family = _grid(rows, ["root", "bucket"]), _grid(whole, ["root"])
+    costs = by_bucket.groupBy("root").agg(F.sum("moved").alias("apart"))
+    together = costs.join(by_family, "root").withColumn("as_one", F.col("moved") <= F.col("apart"))
+    single = together.where("as_one").select("root", "main", "blocks", "askers")
+    apart = by_bucket.join(together.where("NOT as_one").select("root"), "root", "left_semi")
+    one = _asked(whole.join(single, "root"), F.xxhash64("root"))
+    rest = _asked(rows.join(apart.select("bucket", "main", "blocks", "askers"), "bucket"), F.xxhash64("root", "bucket"))
+    return one.union(rest)
+
+
+def _grid(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Per group: the most frequent component, blocks of answers and of asking classes, rows that these move."""
+    parts = rows.groupBy(*group, "part").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    sums = parts.groupBy(*group).agg(
+        F.sum("size").alias("size"), F.sum("shingles").alias("shingles"), F.max("size").alias("main_size"),
+        F.max_by("part", F.struct("size", "part")).alias("main"),
     )
-    buckets = parts.groupBy("bucket").agg(
-        F.count("*").alias("parts"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles"), F.sum("mark").alias("mark"),
-        F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("main_size"),
-    ).where("parts > 1")
-    one = buckets.groupBy("size", "mark").agg(F.min_by(F.struct("bucket", "main", "main_size", "shingles"), "bucket").alias("b"))
-    blocks = F.ceil(F.greatest(F.col("size") / REST_SETS, F.col("b.shingles") / REST_SHINGLES)).cast("int")
-    share = (F.col("size") - F.col("b.main_size")) / F.col("size")
-    one = one.select("b.bucket", "b.main", blocks.alias("blocks"), F.ceil(blocks * share).cast("int").alias("askers"))
-    rows = placed.join(one, "bucket")
-    answers = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn(
-        "ask", F.explode(F.sequence(F.lit(0), F.col("askers") - 1))
+    asking = F.col("size") - F.col("main_size")
+    blocks = F.ceil(F.greatest(F.col("size") / REST_SETS, F.col("shingles") / REST_SHINGLES)).cast("int")
+    sums = sums.withColumns({"blocks": blocks, "askers": F.ceil(blocks * asking / F.col("size")).cast("int")})
+    moved = F.col("size") * F.col("askers") + asking * F.col("blocks")
+    return sums.select(*group, "main", "blocks", "askers", moved.alias("moved"))
+
+
+def _asked(rows: DataFrame, name: Column) -> DataFrame:
+    """Every answer under each block of asking classes, every asking class under each block of answers."""
+    place = F.xxhash64("id")
+    answers = rows.select(
+        "id", name.alias("name"), F.pmod(place, F.col("blocks")).cast("int").alias("own"),
+        F.explode(F.sequence(F.lit(0), F.col("askers") - 1)).alias("ask"), F.lit(False).alias("asks"),
     )
-    asks = rows.where("part <> main").withColumn("ask", F.pmod(F.xxhash64("id"), F.col("askers")).cast("int")).withColumn(
-        "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asks = rows.where("part <> main").select(
+        "id", name.alias("name"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"),
+        F.pmod(place, F.col("askers")).cast("int").alias("ask"), F.lit(True).alias("asks"),
     )
-    grp = F.xxhash64("bucket", "own", "ask").alias("grp")
-    return answers.select(grp, "id", F.lit(False).alias("asks")).union(asks.select(grp, "id", F.lit(True).alias("asks")))
+    return answers.union(asks).select(F.xxhash64("name", "own", "ask").alias("grp"), "id", "asks")
 
 
 class _Parts:
