@@ -51,7 +51,7 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM good WHERE ok_person AND ok_registration AND ok_time AND ok_range AND ok_toco""",
 )
 def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = conversion.flat_rows(event_records(spark, sf_dir))
+    rows = conversion.flat_rows(conversion.flat_layout(event_records(spark, sf_dir)))
     return rows.select(
         F.col("PatientID").alias("patient"),
         F.col("RegistrationID").alias("registration"),

@@ -156,16 +156,22 @@ def parsed_records(objects: DataFrame) -> DataFrame:
     return typed.withColumn("problems", found)
 
 
-def flat_rows(parsed: DataFrame) -> DataFrame:
-    """Valid records in the flat layout: four samples per channel, extra ones dropped."""
+def flat_layout(parsed: DataFrame) -> DataFrame:
+    """Every record in the flat layout with its number and problems: four samples per channel, extra ones dropped."""
 
     def samples(channel: str) -> list[Column]:
         cells = [F.get(F.col(f"_{channel}"), F.lit(i)).try_cast("smallint").alias(f"{channel}_{i}") for i in range(SAMPLES)]
         return [*cells, F.col(f"{channel}_SignalQuality")]
 
-    valid = parsed.where(F.size("problems") == 0)
     channels = [c for channel in RATE_CHANNELS for c in samples(channel)]
-    return valid.select("source", "PatientID", "RegistrationID", "Timestamp", *MODES, "Toco_Values", *channels)
+    return parsed.select(
+        "source", "record_index", "problems", "PatientID", "RegistrationID", "Timestamp", *MODES, "Toco_Values", *channels
+    )
+
+
+def flat_rows(layout: DataFrame) -> DataFrame:
+    """The valid records of a flat layout."""
+    return layout.where(F.size("problems") == 0).drop("record_index", "problems")
 
 
 def rejects(frames: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -189,7 +195,7 @@ def preview(spark: SparkSession, patterns: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` valid rows of all matching inputs."""
     frames = read_frames(spark, _inputs(spark, patterns))
     objects = frames.where(F.col("kind") == "object").select("source", F.col("item").alias("record_index"), "text")
-    return flat_rows(parsed_records(objects)).limit(n)
+    return flat_rows(flat_layout(parsed_records(objects))).limit(n)
 
 
 def _inputs(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
@@ -232,7 +238,8 @@ def convert(
     Rejects are written before rows, both by input, and an input counts as done only by a
     marker written last.  An interrupted run or an input without valid records leaves
     earlier rows as they were; rejects of other inputs stay.  Rows are not shuffled: a task
-    writes the partitions of the ranges that it read.
+    writes the partitions of the ranges that it read.  The working tables (frames and parsed
+    records) are removed at the end.
     """
     paths = _inputs(spark, patterns)
     done = f"{output.rstrip('/')}/_inputs"
@@ -240,19 +247,25 @@ def convert(
         paths = [p for p in paths if not tables.path_exists(spark, f"{done}/input={quote(input_key(p))}")]
     if not paths:
         return {"inputs": 0, "rows": 0, "rejects": 0}
-    frames = materialise_frames(spark, paths, shared_folder(spark, f"{output}_work"), member, range_bytes)
-    parsed = parsed_records(numbered_objects(frames))
-    rows_seen, rejects_seen = Observation(), Observation()
-    refused = rejects(frames, parsed).withColumn("input", _input_key(F.col("source")))
-    _write_partitions(refused.observe(rejects_seen, F.count(F.lit(1)).alias("n")), rejects_output, "input")
-    rows = flat_rows(parsed).withColumn("source", _input_key(F.col("source")))
-    _write_partitions(rows.observe(rows_seen, F.count(F.lit(1)).alias("n")), output, "source")
-    known = spark.createDataFrame([(input_key(p), p) for p in paths], "input string, path string")
-    _drop_old_rejects(spark, rejects_output, known, refused)
-    _write_partitions(known, done, "input")
-    found = {"inputs": len(paths), "rows": rows_seen.get["n"], "rejects": rejects_seen.get["n"]}
-    log_problems(frames, refused, found["rejects"])
-    return found
+    work = f"{shared_folder(spark, f'{output}_work').rstrip('/')}/conversion_{uuid4().hex}"
+    try:
+        frames = materialise_frames(spark, paths, work, member, range_bytes)
+        # Each text is parsed once: rows, rejects and totals come from this table.
+        flat_layout(parsed_records(numbered_objects(frames))).write.option("compression", "zstd").parquet(f"{work}/layout")
+        layout = spark.read.parquet(f"{work}/layout")
+        rows_seen, rejects_seen = Observation(), Observation()
+        refused = rejects(frames, layout).withColumn("input", _input_key(F.col("source")))
+        _write_partitions(refused.observe(rejects_seen, F.count(F.lit(1)).alias("n")), rejects_output, "input")
+        rows = flat_rows(layout).withColumn("source", _input_key(F.col("source")))
+        _write_partitions(rows.observe(rows_seen, F.count(F.lit(1)).alias("n")), output, "source")
+        known = spark.createDataFrame([(input_key(p), p) for p in paths], "input string, path string")
+        _drop_old_rejects(spark, rejects_output, known, refused)
+        _write_partitions(known, done, "input")
+        found = {"inputs": len(paths), "rows": rows_seen.get["n"], "rejects": rejects_seen.get["n"]}
+        log_problems(frames, refused, found["rejects"])
+        return found
+    finally:
+        tables.remove_folder(spark, work)
 
 
 def _drop_old_rejects(spark: SparkSession, rejects_output: str, known: DataFrame, refused: DataFrame) -> None:
