@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.functions.dates import MICROS, epoch_micros, plus_seconds, time_cell
 from vitalspan.operators.cells import CELL, with_cell
+from vitalspan.operators.prefilter import rows_that_may_match
 
 
 def _longer_than(start: Column, end: Column, seconds: float) -> Column:
@@ -107,11 +108,13 @@ def rows_in_windows(
     """Rows whose time lies in a window of their key, both ends included.
 
     The range condition becomes an equi-join on (key, time cell), so the rows of one
-    key are spread over its cells.
+    key are spread over its cells.  Few rows lie in a touched cell: a bitmap of the
+    touched (key, cell) pairs drops the others where they are read, before any exchange.
     """
     cells = F.sequence(time_cell(F.col(start), cell_seconds), time_cell(F.col(end), cell_seconds))
     touched = windows.withColumn(CELL, F.explode(cells))
-    inside = with_cell(rows, ts, cell_seconds).join(touched, [key, CELL])
+    near = rows_that_may_match(with_cell(rows, ts, cell_seconds), touched, [key, CELL])
+    inside = near.join(touched, [key, CELL])
     return inside.where(F.col(ts).between(F.col(start), F.col(end))).drop(CELL)
 
 
