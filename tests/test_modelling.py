@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from vitalspan import config
@@ -120,10 +121,16 @@ def test_multimodal_tables(spark):
     assert row["mask_respiratorbehandling"] == 1.0
     stacked = modelling.sequence_tables(frame, made, settings)
     assert stacked.count() == 160 and {"target", "split", "padding_mask"} <= set(stacked.columns)
-    with pytest.raises(ValueError):
-        tabular.clean_inputs(registry.union(registry), reg)
-    with pytest.raises(ValueError):
-        modelling.baseline_dataset(made, frame.where("BabyID <> 'b001'"))
+    # Both are found when the rows are read, not when the frame is made.
+    with pytest.raises(PySparkException, match="duplicate BabyID rows: b000"):
+        tabular.clean_inputs(registry.union(registry), reg).collect()
+    with pytest.raises(PySparkException, match="duplicate BabyID"):
+        tabular.merge_splits(made.union(made), cleaned).collect()
+    with pytest.raises(PySparkException, match="no series for subject b001"):
+        modelling.baseline_dataset(made, frame.where("BabyID <> 'b001'")).collect()
+    with_leak = config.RegistrySettings(input_excluded_due_to_leakage=("maternal_age", "is_girl"))
+    assert not {"maternal_age", "is_girl"} & {*with_leak.input_numeric, *with_leak.input_boolean}
+    assert "maternal_age" not in modelling.multimodal_tables(frame, registry, made, config.StudySettings(sequence=STEPS, registry=with_leak)).columns
 
 
 def newton(x, y, w, penalty):
