@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from vitalspan.llm.common import annotate, as_bytes, mix, slices, text_bytes, written
 from vitalspan.llm.ngram_join import components, shingle_sets
+from vitalspan.operators.prefilter import rows_that_may_match
 
 GRAM = 5
 PERCENT = 85
@@ -42,7 +43,7 @@ BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
 BITS = 512
 LOST = 1e-9  # share of links that the sketch filter may lose
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 LEADER_TESTS = 256  # tests of one leader in one group
 REST_SETS, REST_SHINGLES = 2000, 4_000_000  # of one block
 PIECE = 1 << 17  # shingles that are sampled together
@@ -206,15 +207,17 @@ def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
 def open_groups(met: DataFrame, members: DataFrame) -> DataFrame:
     """grp, id, asks: classes of buckets with several components, block against block.
 
-    Buckets that share a class are a family.  A family meets once as a whole where that moves
-    fewer rows than meeting in each of its buckets.  In what meets, the classes outside the most
-    frequent component ask, and all classes answer.
+    Buckets that share classes are put into one family (whole buckets, so no pair of a bucket is
+    lost).  A family meets once as a whole where that moves fewer rows than meeting in each of its
+    buckets.  In what meets, the classes outside the most frequent component ask, and all classes
+    answer.
     """
     placed = met.select("bucket", "id").join(members.select("id", "part", "n"), "id")
     several = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("id").alias("head"))
     rows = written(placed.join(several.where("low <> high").select("bucket", "head"), "bucket"))
-    families = components(rows.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
-    rows = written(rows.join(families, rows.id == families.node).select("root", "bucket", "id", "part", "n"))
+    low = rows.groupBy("id").agg(F.min("head").alias("low"))
+    roots = rows.join(low, "id").groupBy("bucket").agg(F.min("low").alias("root"))
+    rows = written(rows.join(roots, "bucket").select("root", "bucket", "id", "part", "n"))
     whole = rows.groupBy("root", "id").agg(F.first("part").alias("part"), F.first("n").alias("n"))
 
     by_bucket, by_family = _grid(rows, ["root", "bucket"]), _grid(whole, ["root"])
@@ -331,11 +334,13 @@ def near_duplicates(
     classes = written(classes)
     banded = classes.select("id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    met = written(banded.join(shared, "bucket").select("bucket", "id"))
+    met = written(rows_that_may_match(banded, shared, ["bucket"]).join(shared, "bucket").select("bucket", "id"))
     members = classes.join(met.select("id").distinct(), "id").select("id", "n", "sketch", F.col("id").alias("part"))
     members = written(members)
-    wanted = members.select(F.col("id").alias("wanted"))
+    # Few documents share a bucket: the others' texts are dropped before the exchange.
     bodies = docs.select(F.col(doc_id).cast("long").alias("id"), text_bytes(text).alias("body"))
+    bodies = rows_that_may_match(bodies, members, ["id"])
+    wanted = members.select(F.col("id").alias("wanted"))
     bodies = written(bodies.join(wanted, bodies.id == wanted.wanted, "left_semi"))
 
     links = docs.sparkSession.createDataFrame([], "a long, b long")
