@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from vitalspan.operators import prefilter, sessions, skew
+from vitalspan.operators import metrics, prefilter, sessions, skew
 
 
 def plan(df) -> str:
@@ -84,3 +85,32 @@ def test_a_key_with_half_of_the_rows_is_spread(spark, no_broadcast):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert used > 2
+
+
+def test_score_ranges_follow_the_number_of_distinct_scores(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "RANGE_SCORES", 200)
+    rows = spark.range(30_000).select(
+        (F.col("id") % 2).alias("g"), (F.rand(3) < 0.3).cast("int").alias("y"), F.exp(-F.col("id") / 900).alias("s")
+    )
+    counts = metrics.score_counts(rows, ["g"], "y", "s")
+    placed = metrics._with_ranges(counts)
+    assert placed.columns == [*counts.columns, "_range"]
+    per_range = placed.groupBy("_range").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+    found = per_range.orderBy("_range").collect()
+    assert 150 <= len(found) <= 260 and max(r["n"] for r in found) < 1000
+    assert all(a["high"] <= b["low"] for a, b in zip(found, found[1:], strict=False))
+    few = metrics._with_ranges(counts.where("score > 0.99"))
+    assert few.select("_range").distinct().count() == 1
+    assert metrics._with_ranges(counts.limit(0)).count() == 0
+
+
+def test_scores_of_a_large_table_use_one_range_per_65536(spark):
+    """591,475 distinct scores of the given tables take 16 ranges, none over a fifth of the scores."""
+    folder = "/root/testdata/sf0.1"
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("0 AS y", "l_extendedprice AS s")
+    placed = metrics._with_ranges(metrics.score_counts(lines, [], "y", "s")).groupBy("_range").count().collect()
+    total = sum(r["count"] for r in placed)
+    assert total / metrics.RANGE_SCORES <= len(placed) <= 2 * total / metrics.RANGE_SCORES + 1
+    assert max(r["count"] for r in placed) < total / 5

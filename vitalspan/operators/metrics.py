@@ -11,31 +11,60 @@ from vitalspan.functions.arrays import clip
 from vitalspan.operators.cells import running_totals
 from vitalspan.operators.skew import with_single_row
 
-SCORE_RANGES = 64
+RANGE_SCORES = 1 << 16  # distinct scores of a range
+MOST_RANGES = 4096
+CHUNK_BORDERS = 64
+SKETCH_SIZE = 8192
 GRID_POINTS = 500
 GRID_STEP = 1 / GRID_POINTS
 
 
 def score_counts(rows: DataFrame, group: Sequence[str], label: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score."""
+    """Positives and negatives per distinct score of every group; rows without group or label have no part."""
     y = F.col(label).cast("bigint")
-    return rows.groupBy(*group, F.col(score).cast("double").alias("score")).agg(
+    return rows.dropna(subset=[*group, label]).groupBy(*group, F.col(score).cast("double").alias("score")).agg(
         F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")
     )
 
 
-def _with_ranges(counts: DataFrame) -> DataFrame:
-    """Add ``_range``: which of ``SCORE_RANGES`` ranges, equally full of distinct scores, holds the score.
+def _borders(counts: DataFrame) -> DataFrame:
+    """One row: borders between ranges of about ``RANGE_SCORES`` distinct scores, in chunks, and the chunks' heads.
 
-    The borders come from a sketch of the scores, so logits and scores crowded near zero
-    are dealt as evenly as any others.
+    The number of ranges follows the number of distinct scores; the borders come from a
+    mergeable sketch, so logits and scores crowded near zero are dealt as evenly as any others.
     """
-    cuts = [i / SCORE_RANGES for i in range(1, SCORE_RANGES)]
-    borders = counts.agg(F.percentile_approx("score", cuts, 1000).alias("_borders"))
-    placed = with_single_row(counts, borders)
-    # A sum of comparisons: a scalar subquery cannot stand in a lambda.
-    below = [F.coalesce(F.get("_borders", F.lit(i)) <= F.col("score"), F.lit(False)).cast("int") for i in range(len(cuts))]
-    return placed.withColumn("_range", sum(below, F.lit(0))).drop("_borders")
+    # With the sums the subquery reads the same columns as the query, so both share one exchange.
+    sketch = counts.agg(
+        F.expr(f"kll_sketch_agg_double(score, {SKETCH_SIZE})").alias("sketch"), F.count(F.lit(1)).alias("n"),
+        F.sum("pos").alias("_pos_sum"), F.sum("neg").alias("_neg_sum"),
+    )
+    # A power of two: the sketch is asked for all borders there can be, every step-th is taken.
+    wanted = F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / RANGE_SCORES))).cast("int")
+    number = F.greatest(F.lit(1), F.least(F.lit(MOST_RANGES), wanted))
+    shares = ",".join(str(i / MOST_RANGES) for i in range(1, MOST_RANGES))
+    every = f"kll_sketch_get_quantile_double(sketch, CAST(split('{shares}', ',') AS ARRAY<DOUBLE>))"
+    cut = sketch.withColumn("number", F.coalesce(number, F.lit(1)))
+    cut = cut.withColumn("every", F.expr(f"CASE WHEN number > 1 THEN {every} END")).withColumn(
+        "borders", F.expr(f"coalesce(transform(sequence(1, number - 1), i -> every[i * ({MOST_RANGES} div number) - 1]), CAST(array() AS ARRAY<DOUBLE>))")
+    )
+    cut = cut.withColumn("borders", F.when(F.col("number") > 1, F.col("borders")).otherwise(F.array().cast("array<double>")))
+    chunks = f"transform(sequence(0, (size(borders) - 1) div {CHUNK_BORDERS}), c -> slice(borders, c * {CHUNK_BORDERS} + 1, {CHUNK_BORDERS}))"
+    filled = cut.withColumn("_chunks", F.expr(f"CASE WHEN number > 1 THEN {chunks} ELSE array(borders) END"))
+    heads = F.expr("transform(slice(_chunks, 2, size(_chunks)), c -> c[0])").alias("_heads")
+    return filled.select("_chunks", heads, "_pos_sum", "_neg_sum")
+
+
+def _place_among(borders: Column, score: Column) -> Column:
+    """How many of the ascending borders lie below the score."""
+    return F.coalesce(F.array_position(F.array_sort(F.array_append(borders, score)), score).cast("int") - 1, F.lit(0))
+
+
+def _with_ranges(counts: DataFrame) -> DataFrame:
+    """Add ``_range``, which rises with the score; see ``_borders``."""
+    placed = with_single_row(counts, _borders(counts)).withColumn("_chunk", _place_among(F.col("_heads"), F.col("score")))
+    inside = _place_among(F.get("_chunks", F.col("_chunk")), F.col("score"))
+    found = F.coalesce(F.col("_chunk") * CHUNK_BORDERS + inside, F.lit(0))  # never null, so joins need not test it
+    return placed.withColumn("_range", found).select(*counts.columns, "_range")
 
 
 def binary_metrics(
