@@ -41,6 +41,10 @@ def test_features_match_pandas(spark):
     data = pd.DataFrame(rows, columns=["BabyID", "Timestamp", "FHR", "toco"])
     frame = spark.createDataFrame([(b, t.to_pydatetime(), f, o) for b, t, f, o in rows], "BabyID string, Timestamp timestamp_ntz, FHR double, toco double")
     found = {r["BabyID"]: r for r in features.aggregate_features(frame).collect()}
+    bounded = features.aggregate_features(frame, bounded=True)
+    assert bounded._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    for r in bounded.collect():
+        assert all(a == pytest.approx(b, nan_ok=True) for a, b in zip(r[1:], found[r["BabyID"]][1:], strict=True))
     for baby, p in data.groupby("BabyID"):
         r, pos = found[baby], p["FHR"][p["FHR"] > 0]
         expected = {

@@ -87,8 +87,19 @@ FROM stepped GROUP BY user_id"""
 
 @query("aggregate_features", FEATURE_SQL)
 def aggregate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects that a task can order, as the pipeline has them."""
+    return _features(spark, sf_dir, True)
+
+
+@query("aggregate_features_any_size", FEATURE_SQL)
+def aggregate_features_any_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of any size, cut into cells and brackets."""
+    return _features(spark, sf_dir, False)
+
+
+def _features(spark: SparkSession, sf_dir: str, bounded: bool) -> DataFrame:
     found = features.aggregate_features(
-        two_signals(spark, sf_dir), "user_id", "ts", "fhr", "toco", cell_seconds=DAY, tie=["event_id"]
+        two_signals(spark, sf_dir), "user_id", "ts", "fhr", "toco", cell_seconds=DAY, tie=["event_id"], bounded=bounded
     )
     rounded = [six(F.col(c), c) for c in features.FEATURE_NAMES if c != "n_rows"]
     return found.select("user_id", "n_rows", *rounded)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalspan.functions.dates import duration_seconds
 from vitalspan.operators.cells import with_previous
+from vitalspan.operators.histograms import quantile_columns
 from vitalspan.operators.quantiles import exact_quantiles
 
 QUANTILES = {"q10": 0.10, "q50": 0.50, "q90": 0.90}
@@ -48,16 +49,26 @@ def aggregate_features(
     toco: str = "toco",
     cell_seconds: float = 3600,
     tie: list[str] | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
-    """Key and 21 features per subject, in double precision."""
+    """Key and 21 features per subject, in double precision.
+
+    ``bounded``: no subject has more rows than a task can order, as after the reduction, where it
+    holds one closing window.  Steps, moments and quantiles then come from one exchange by subject.
+    """
     tie = tie or []
     series = rows.select(
         key, ts, *tie, F.col(rate).cast("double").alias("fhr"), F.col(toco).cast("double").alias("toco")
     )
-    stepped = absolute_steps(
-        series, key, ts, {"fhr_abs_diff": "fhr", "toco_abs_diff": "toco"}, cell_seconds, tie=tie
-    )
+    steps = {"fhr_abs_diff": "fhr", "toco_abs_diff": "toco"}
+    if bounded:
+        in_time = Window.partitionBy(key).orderBy(ts, *tie)
+        changes = {new: F.abs(F.col(c) - F.lag(c).over(in_time)) for new, c in steps.items()}
+        stepped = series.dropna(subset=[key, ts]).withColumns(changes)
+    else:
+        stepped = absolute_steps(series, key, ts, steps, cell_seconds, tie=tie)
     positive = F.when(F.col("fhr") > 0, F.col("fhr"))
+    wanted = {f"{c}_{q}": (c, p) for c in ("fhr", "toco") for q, p in QUANTILES.items()}
     plain = stepped.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_rows"),
         duration_seconds(F.min(ts), F.max(ts)).alias("duration_seconds"),
@@ -68,8 +79,10 @@ def aggregate_features(
         *_spread(F.col("toco"), "toco"),
         F.avg("fhr_abs_diff").alias("fhr_abs_diff_mean"),
         F.avg("toco_abs_diff").alias("toco_abs_diff_mean"),
+        *(quantile_columns(wanted) if bounded else []),
     )
-    wanted = {f"{c}_{q}": (c, p) for c in ("fhr", "toco") for q, p in QUANTILES.items()}
+    if bounded:
+        return plain.select(key, *FEATURE_NAMES)
     quantiles = exact_quantiles(series, [key], wanted, spread_by=[ts])
     return plain.join(quantiles, key, "left").select(key, *FEATURE_NAMES)
 

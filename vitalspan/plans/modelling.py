@@ -30,7 +30,8 @@ def load_splits(spark: SparkSession, settings: StudySettings, registry_csv: str,
 
 def baseline_dataset(split_table: DataFrame, series: DataFrame) -> DataFrame:
     """Split rows with the aggregate features of their series; reading fails for a subject without any."""
-    found = features.as_model_types(features.aggregate_features(series.join(split_table.select("BabyID"), "BabyID", "left_semi")))
+    own = series.join(split_table.select("BabyID"), "BabyID", "left_semi")
+    found = features.as_model_types(features.aggregate_features(own, bounded=True))
     joined = split_table.join(found, "BabyID", "left")
     failure = F.raise_error(F.concat(F.lit("no series for subject "), F.col("BabyID").cast("string"))).cast("boolean")
     return joined.where(F.when(F.col("n_rows").isNull(), failure).otherwise(F.lit(True)))
