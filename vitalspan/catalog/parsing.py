@@ -12,6 +12,7 @@ from vitalspan.catalog.base import as_text, query, six, table
 from vitalspan.functions import dates, text
 from vitalspan.operators import matching, registry, reports
 from vitalspan.plans.matching import enriched_registry
+from vitalspan.sources.tables import spread_scan
 
 # Text cells per order: edge values picked by the order key.
 CELLS = {
@@ -312,11 +313,13 @@ def _raw_sql(cells: dict[str, str], source: str) -> str:
 
 
 def raw_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS `{n}`" for n, e in RAW_REGISTRY.items()])
+    orders = spread_scan(table(spark, sf_dir, "orders"))
+    return orders.selectExpr(*[f"{e} AS `{n}`" for n, e in RAW_REGISTRY.items()])
 
 
 def raw_neonatal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS `{n}`" for n, e in RAW_NEONATAL.items()])
+    lines = spread_scan(table(spark, sf_dir, "lineitem"))
+    return lines.selectExpr(*[f"{e} AS `{n}`" for n, e in RAW_NEONATAL.items()])
 
 
 def _codes(column: str, delimiter: str) -> str:

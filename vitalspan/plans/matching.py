@@ -58,8 +58,8 @@ def run_matching(
     series_out: str,
     unique_on: str = "registry",
 ) -> MatchCounts:
-    registry_raw = tables.read_text_csv(spark, registry_csv, ";")
-    people = enriched_registry(registry_raw, tables.read_side_registry(spark, neonatal_file))
+    registry_raw = tables.spread_scan(tables.read_text_csv(spark, registry_csv, ";"))
+    people = enriched_registry(registry_raw, tables.spread_scan(tables.read_side_registry(spark, neonatal_file)))
     dated = spark.read.parquet(dated_path)
     matched = matched_registry(people, dated, unique_on)
     sinks.write_ordered_csv(matched, registry_out, ["BabyID"])
