@@ -11,8 +11,9 @@ whole sets.
 Pairs of a bucket are never all listed:
 
 1. *Leaders.*  One class of each bucket, chosen by a hash, meets the others; each class is tested
-   against the leader with the nearest sketch.  Confirmed links are contracted to components and
-   other leaders are chosen.  A leader's tests are dealt over as many tasks as it has tests.
+   against the leader with the nearest sketch.  Confirmed links are contracted to components.  A
+   leader's tests are dealt over several tasks.  Further rounds choose other leaders; one is enough
+   to leave little for the next step.
 2. *Rest.*  Buckets that still hold several components meet once more, together with those that
    share their classes where that moves fewer rows.  The classes outside the most frequent component
    meet all classes, block against block, by sketch first; only what has a near sketch in another
@@ -43,7 +44,7 @@ BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
 BITS = 512
 LOST = 1e-9  # share of links that the sketch filter may lose
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 LEADER_TESTS = 256  # tests of one leader in one group
 REST_SETS, REST_SHINGLES = 2000, 4_000_000  # of one block
 PIECE = 1 << 17  # shingles that are sampled together
