@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -65,6 +66,7 @@ def annotate(df: DataFrame, inputs: Sequence[Column], fn: Callable, schema: str,
             columns = fn(*[a.slice(low, rows) for a in arrays])
             fields = [pa.array(columns[f.name], f.type) for f in kind]
             parts.append(pa.StructArray.from_arrays(fields, fields=list(kind)))
+        give_back()
         return pa.concat_arrays(parts)
 
     # The annotations tell Spark which flavour of function this is.
@@ -79,6 +81,14 @@ def slices(rows: pa.Array | pa.RecordBatch, nbytes: int) -> list[tuple[int, int]
     return [(low, min(step, n - low)) for low in range(0, max(n, 1), step)]
 
 
+def give_back() -> None:
+    """Hand freed memory to the system: workers are reused, and what every stage leaves in them adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(column: str = "text") -> Column:
     return F.col(column).cast("string").cast("binary")
 

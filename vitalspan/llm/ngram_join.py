@@ -44,6 +44,7 @@ from vitalspan.llm.common import (
     as_bytes,
     block_count,
     free_name,
+    give_back,
     lower_ascii,
     mix,
     slices,
@@ -60,6 +61,7 @@ ROUNDS = 2
 TREE_SETS = 1024  # sets of one collapse group before it is cut into chunks
 TREE_BYTES = 16 << 20  # and their bytes of text
 REST_SETS = 1500
+DEALT_TOKENS = 1 << 20  # shingles that a task holds before it deals them
 PIECE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
@@ -240,22 +242,18 @@ def _short_key(klass: bytes) -> int:
 def shared_counts(docs: DataFrame, text: str, gram: int, percent: int, buckets: int) -> DataFrame:
     """key (of a class), shared: how many of the tested shingles another class shows as well."""
 
+    def shown(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int, bool]]:
+        seen: set[int] = set()  # one number for each class of the task
+        for texts in _portions(batches):
+            for tokens in shingle_sets(as_bytes(texts.column(0)), gram):
+                key = _short_key(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
+                if len(tokens) and key not in seen:
+                    seen.add(key)
+                    # Sets whose sizes make them be tested by the bounded shingles only are marked.
+                    yield stand_ins(tokens, percent, True), key, len(tokens) <= SMALL_SET * percent // 100
+
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[int, tuple[np.ndarray, int]] = {}
-            for low, rows in slices(batch, batch.nbytes):
-                for tokens in shingle_sets(as_bytes(batch.column(0).slice(low, rows)), gram):
-                    if len(tokens):
-                        key = _short_key(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                        seen.setdefault(key, (stand_ins(tokens, percent, True), len(tokens)))
-            if not seen:
-                continue
-            keys = np.array(list(seen), np.int64)
-            # Sets whose sizes make them be tested by the bounded shingles only are marked.
-            whole = np.array([n <= SMALL_SET * percent // 100 for _, n in seen.values()])
-            tokens = np.concatenate([t for t, _ in seen.values()])
-            owner = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(t) for t, _ in seen.values()])
-            yield from _dealt(tokens, owner, keys, whole, buckets)
+        return _dealt_sets(shown(batches), buckets)
 
     def count(table: pa.Table) -> pa.Table:
         tokens, owner, keys, whole = _gathered(table)
@@ -302,6 +300,33 @@ def _by_destination(key: np.ndarray, n: np.ndarray, buckets: int) -> dict:
 _DEALT = "bucket int, tokens binary, owner binary, keys binary, flags binary"
 
 
+def _portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows some megabytes at a time; between batches freed memory goes back to the system."""
+    for batch in batches:
+        for low, rows in slices(batch, batch.nbytes):
+            yield batch.slice(low, rows)
+        give_back()
+
+
+def _dealt_sets(sets: Iterable[tuple[np.ndarray, int, int]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_dealt`` for (tokens, key, flag), about ``DEALT_TOKENS`` tokens at a time."""
+    held, size = [], 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        tokens, keys, flags = zip(*held, strict=True)
+        owner = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(t) for t in tokens])
+        return _dealt(np.concatenate(tokens), owner, np.array(keys, np.int64), np.array(flags), buckets)
+
+    for own in sets:
+        held.append(own)
+        size += len(own[0])
+        if size >= DEALT_TOKENS:
+            yield from rows()
+            held, size = [], 0
+    if size:
+        yield from rows()
+
+
 def _dealt(tokens, owner, keys, flags, buckets: int) -> Iterator[pa.RecordBatch]:
     """One row for each bucket: its tokens, whose they are, and the owners' keys and flags."""
     bucket = ((tokens >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
@@ -339,9 +364,9 @@ def _gathered(table: pa.Table):
 def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
     """Rows with an equal first column from batches that are sorted by it."""
     now, rows = None, []
-    for batch in batches:
-        name = batch.schema.names[0]
-        for row in batch.to_pylist():
+    for part in _portions(batches):
+        name = part.schema.names[0]
+        for row in part.to_pylist():
             if rows and row[name] != now:
                 yield now, rows
                 rows = []
@@ -423,15 +448,13 @@ def rest_groups(survivors: DataFrame, gram: int, percent: int) -> DataFrame:
     """
     buckets = block_count(survivors, "body", 8 << 20)
 
+    def shown(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int, int]]:
+        for rows in _portions(batches):
+            ids, parts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+            yield from zip(shingle_sets(as_bytes(rows.column(2)), gram), ids, parts, strict=True)
+
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(as_bytes(batch.column(2)), gram))
-            if not any(map(len, sets)):
-                continue
-            ids = np.array(batch.column(0).to_pylist(), np.int64)
-            parts = np.array(batch.column(1).to_pylist(), np.int64)
-            owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
-            yield from _dealt(np.concatenate(sets), owner, ids, parts, buckets)
+        return _dealt_sets(shown(batches), buckets)
 
     def count(table: pa.Table) -> pa.Table:
         tokens, owner, ids, parts = _gathered(table)
@@ -477,29 +500,31 @@ def rest_groups(survivors: DataFrame, gram: int, percent: int) -> DataFrame:
     dealt = survivors.select("id", "part", "body").mapInArrow(deal, _DEALT)
     found = dealt.groupBy("bucket").applyInArrow(count, "id long, tokens binary, parts binary")
     packed = found.groupBy("id").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("parts").alias("parts"))
-    sized = annotate(survivors, [F.col("body")], sizes, "n long", "_n").select("id", "part", F.col("_n.n").alias("n"))
+    sized = annotate(survivors, [F.col("body")], sizes, "n long", "_n").select(
+        "id", "part", F.octet_length("body").cast("long").alias("bytes"), F.col("_n.n").alias("n")
+    )
     joined = packed.join(sized, "id")
     keyed = annotate(
         joined, [F.col("tokens"), F.col("parts"), F.col("n")], prefixes, "prefix array<long>", "_prefix"
     )
-    keyed = written(keyed.select("id", "part", F.explode("_prefix.prefix").alias("token")))
+    keyed = written(keyed.select("id", "part", "bytes", F.explode("_prefix.prefix").alias("token")))
+    needed = F.ceil(F.greatest(F.count("*") / REST_SETS, F.sum("bytes") / TREE_BYTES, F.lit(1.0))).cast("int")
     tokens = keyed.groupBy("token").agg(
-        F.count("*").alias("size"), F.min("id").alias("least"), (F.min("part") != F.max("part")).alias("several")
+        needed.alias("blocks"), F.min("id").alias("least"), (F.min("part") != F.max("part")).alias("several")
     ).where("several")
-    met = written(keyed.join(tokens, "token").select("id", "part", "token", "size", "least"))
+    met = written(keyed.join(tokens, "token").select("id", "bytes", "token", "blocks", "least"))
     # Sets that meet under some shingle, directly or through others, are a family: it meets
-    # once as a whole.  Only families too large for one tree meet under each shingle, block
+    # once as a whole.  Only families too large for one tree (in sets or bytes) meet under each shingle, block
     # against block, so that every pair shares one of the block pairs.
     families = components(met.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
-    sizes = families.groupBy("root").agg(F.count("*").alias("members"))
-    families = families.join(sizes, "root").select(F.col("node").alias("id"), "root", "members")
-    small = families.where(F.col("members") <= REST_SETS).select("id", F.xxhash64("root").alias("grp"))
-    large = families.where(F.col("members") > REST_SETS).select("id")
-    blocks = F.ceil(F.col("size") / REST_SETS).cast("int")
+    families = families.withColumnRenamed("node", "id").join(met.select("id", "bytes").distinct(), "id")
+    fits = (F.count("*") <= REST_SETS) & (F.sum("bytes") <= TREE_BYTES)
+    families = families.join(families.groupBy("root").agg(fits.alias("fits")), "root").select("id", "root", "fits")
+    small = families.where("fits").select("id", F.xxhash64("root").alias("grp"))
+    large = families.where("NOT fits").select("id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = (
         met.join(large, "id")
-        .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("id", F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
