@@ -39,7 +39,6 @@ from vitalspan.llm.ngram_join import shingle_sets
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 14_000
 CHANCE = 1e-5  # a term's documents are all toxic by chance with at most this probability
 PRECISION = 0.85
-MOST_TERMS = 5000
 KNOWN_WORDS = 100_000
 FUZZY_LENGTH = 5
 QUOTED, ALONE, NEAR = 0.3, 1.0, 1.25
@@ -202,7 +201,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     alone = F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))
     least = int(np.ceil(np.log(CHANCE) / np.log(n[1] / (n[0] + n[1]))))
     terms = counts.where((F.col("toxic") >= least) & alone & (rate > 0.9))
-    chosen = [bytes(r.word).decode("utf-8", "replace") for r in terms.orderBy(F.desc("toxic"), "word").limit(MOST_TERMS).collect()]
+    # All terms that pass, bounded by the words of the bounded sample.
+    chosen = [bytes(r.word).decode("utf-8", "replace") for r in terms.orderBy(F.desc("toxic"), "word").collect()]
     model = Model(chosen)
     model.fuzzy = _trusted(rows, chosen, n)
     found = _sample_hits(rows, model)
