@@ -20,16 +20,18 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from vitalspan.llm.common import annotate, as_bytes, free_name, text_bytes
+from vitalspan.llm.common import annotate, as_bytes, free_name, per_stage, text_bytes
 
 SHORT = 200
 TABLE_ENTRIES = 400_000
+TABLE_KEY = 64  # longer pieces are worked out each time, so that the bound on entries is one on bytes
 NEVER = 1 << 60
 LATIN_END = "\u0250"
 
@@ -67,7 +69,7 @@ class ByteBpe:
         self.token_bytes |= {i: s.encode() for s, i in self.special.items()}
         self.pattern = regex.compile(PATTERN)
         # Words in front of different punctuation are different pieces but the same word.
-        self.known_words = Table(lambda word: self.word(word.encode()))
+        self.known_words = Table(lambda word: array("I", self.word(word.encode())).tobytes())
         self.splitter = ByteLevel(add_prefix_space=False)
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         self.special_bytes = [s.encode() for s in self.special]
@@ -118,10 +120,8 @@ class ByteBpe:
 
     def piece(self, raw: bytes) -> list[int]:
         """Tokens of a piece without special tokens."""
-        out: list[int] = []
-        for word in self.split_words(raw.decode("utf-8")):
-            out += self.known_words[word]
-        return out
+        words = self.split_words(raw.decode("utf-8"))
+        return memoryview(b"".join([self.known_words[word] for word in words])).cast("I").tolist()
 
     def split_words(self, text: str) -> list[str]:
         if max(text, default="") < LATIN_END:
@@ -165,21 +165,25 @@ class ByteBpe:
 
 
 class Table(dict):
-    """Piece -> value, filled on first use and emptied when it is full."""
+    """Short piece -> value, filled on first use and emptied when it is full."""
 
     def __init__(self, make, entries: int = TABLE_ENTRIES):
         super().__init__()
         self.make, self.entries = make, entries
 
     def __missing__(self, piece: bytes):
-        if len(self) >= self.entries:
-            self.clear()
-        self[piece] = value = self.make(piece)
+        value = self.make(piece)
+        if len(piece) <= TABLE_KEY:
+            if len(self) >= self.entries:
+                self.clear()
+            self[piece] = value
         return value
 
 
 _CODECS: dict[str, ByteBpe] = {}
 _TABLES: dict[tuple[str, str], Table] = {}
+per_stage(_CODECS)
+per_stage(_TABLES)
 
 
 def codec(path: str) -> ByteBpe:
@@ -220,10 +224,15 @@ def decoded(df: DataFrame, path: str, *, ids: str | Column = "ids", name: str =
     return out.withColumn(name, F.col(step)["text"]).drop(step)
 
 
-def _digest_entry(bpe: ByteBpe):
-    def make(piece: bytes) -> tuple[int, bytes, bytes]:
+def _digest_entry(bpe: ByteBpe, odd: dict[bytes, bytes]):
+    """Decimal tokens of a piece; what it decodes to goes to ``odd`` where that is not the piece."""
+
+    def make(piece: bytes) -> bytes:
         ids = bpe.encode_piece(piece)
-        return len(ids), b",".join(b"%d" % i for i in ids), b"".join(map(bpe.token_bytes.__getitem__, ids))
+        back = b"".join(map(bpe.token_bytes.__getitem__, ids))
+        if back != piece:
+            odd[piece] = back
+        return b",".join([b"%d" % i for i in ids])
 
     return make
 
@@ -233,14 +242,19 @@ def round_trip(df: DataFrame, path: str, *, doc_id: str = "doc_id", text: str =
 
     def batch(texts):
         bpe = codec(path)
-        known = table(path, "digest", _digest_entry(bpe)).__getitem__
+        odd: dict[bytes, bytes] = {}
+        known = table(path, "digest", None)
+        known.make = _digest_entry(bpe, odd)
         out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for raw in as_bytes(texts):
-            entries = list(map(known, bpe.pieces(raw)))
-            out["n_tokens"].append(sum([e[0] for e in entries]))
-            out["ids_sha256"].append(hashlib.sha256(b",".join([e[1] for e in entries])).hexdigest())
-            back = b"".join([e[2] for e in entries]).decode("utf-8", "replace")
+            pieces = bpe.pieces(raw)
+            ids = b",".join(list(map(known.__getitem__, pieces)))
+            out["n_tokens"].append(ids.count(b",") + 1 if ids else 0)
+            out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+            back = b"".join([odd.get(p, p) for p in pieces] if odd else pieces).decode("utf-8", "replace")
             out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
+        for piece in odd:
+            known.pop(piece, None)
         return out
 
     step = "_digests"

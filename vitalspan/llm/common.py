@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -56,11 +57,12 @@ def annotate(df: DataFrame, inputs: Sequence[Column], fn: Callable, schema: str,
     field of ``schema``.  ``name`` must not be a column of ``df`` (see ``free_name``).
     Only the inputs travel to Python, the other columns stay in the JVM.
     """
-    struct = T._parse_datatype_string(schema)
+    struct, stage = T._parse_datatype_string(schema), uuid.uuid4().hex
 
     def batch(*arrays: pa.Array) -> pa.Array:
         from pyspark.sql.pandas.types import to_arrow_type
 
+        enter(stage)
         kind, parts = to_arrow_type(struct), []
         for low, rows in slices(arrays[0], sum(a.nbytes for a in arrays)):
             columns = fn(*[a.slice(low, rows) for a in arrays])
@@ -81,6 +83,24 @@ def slices(rows: pa.Array | pa.RecordBatch, nbytes: int) -> list[tuple[int, int]
     return [(low, min(step, n - low)) for low in range(0, max(n, 1), step)]
 
 
+_CACHES: list[dict] = []
+_STAGE = [""]
+
+
+def per_stage(cache: dict) -> None:
+    """Tables of a worker that live as long as it works for one stage (see ``enter``)."""
+    _CACHES.append(cache)
+
+
+def enter(stage: str) -> None:
+    """Workers are reused: what they have kept for another stage goes."""
+    if _STAGE[0] != stage:
+        _STAGE[0] = stage
+        for cache in _CACHES:
+            cache.clear()
+        gc.collect()
+
+
 def give_back() -> None:
     """Hand freed memory to the system: workers are reused, and what every stage leaves in them adds up."""
     pa.default_memory_pool().release_unused()

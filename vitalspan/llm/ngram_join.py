@@ -43,6 +43,7 @@ from vitalspan.llm.common import (
     annotate,
     as_bytes,
     block_count,
+    enter,
     free_name,
     give_back,
     lower_ascii,
@@ -302,6 +303,7 @@ _DEALT = "bucket int, tokens binary, owner binary, keys binary, flags binary"
 
 def _portions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows some megabytes at a time; between batches freed memory goes back to the system."""
+    enter("ngram_join")
     for batch in batches:
         for low, rows in slices(batch, batch.nbytes):
             yield batch.slice(low, rows)
