@@ -5,6 +5,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitalspan import schema
 from vitalspan.plans import conversion
@@ -130,3 +131,16 @@ def test_rejects_of_earlier_runs_stay_until_their_input_is_clean(spark, tmp_path
     first.write_text(record(1))
     assert conversion.convert(spark, [str(first)], out, rej) == {"inputs": 1, "rows": 1, "rejects": 0}
     assert not [p for p in (tmp_path / "rej").iterdir() if p.name.startswith("input=")]
+
+
+def test_each_text_is_parsed_once(spark):
+    """A filter on the problems must not carry the parse below the projections, once per mention."""
+    texts = ['{"PatientID":"p","RegistrationID":1,"Timestamp":"1/2/2024 1:16:05 PM","Hr1":{"Values":[1,2]}}', "{}", "[", None]
+    objects = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "source string, record_index long, text string")
+    parsed = conversion.parsed_records(objects.repartition(2))
+    layout = conversion.flat_layout(parsed)
+    for found in (conversion.flat_rows(layout), layout.where(F.size("problems") > 0)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert [r["PatientID"] for r in conversion.flat_rows(layout).collect()] == ["p"]
+    bad = {r["record_index"]: r["problems"] for r in layout.where(F.size("problems") > 0).collect()}
+    assert sorted(bad) == [1, 2, 3] and bad[1][:3] == ["PatientID", "RegistrationID", "Timestamp"]

@@ -112,12 +112,13 @@ def _whole_number(document: Column, path: str) -> Column:
     return F.when(allowed & _whole(number), number)
 
 
-def _text_or_missing(document: Column, path: str) -> Column:
-    return _kind(document, path).isin("STRING", "VOID")
-
-
 def parsed_records(objects: DataFrame) -> DataFrame:
-    """Typed fields of each object plus the list of problems found in it."""
+    """Typed fields of each object plus the list of problems found in it.
+
+    Text, document, typed fields and problems are computed once each: every level refers to
+    columns of the one below, and the problems leave through a generator of one row, since a
+    filter on them would else be pushed below all levels with the whole parse inside.
+    """
     doc = F.col("_doc")
     fields: dict[str, Column] = {
         "PatientID": F.try_variant_get(doc, "$.PatientID", "string"),
@@ -126,34 +127,46 @@ def parsed_records(objects: DataFrame) -> DataFrame:
         **{m: F.try_variant_get(doc, f"$.{m}", "string") for m in MODES},
         "Toco_Values": F.try_variant_get(doc, "$.Toco.Values", "string"),
     }
+    kinds = {name: _kind(doc, f"$.{name}") for name in ["PatientID", "Timestamp", *MODES, "Toco", "Toco.Values"]}
+
+    def kind(name: str) -> Column:
+        return F.col(f"`_kind_{name}`")
+
+    def text_or_missing(name: str) -> Column:
+        return kind(name).isin("STRING", "VOID")
+
+    def object_or_missing(name: str) -> Column:
+        return kind(name).startswith("OBJECT") | (kind(name) == "VOID")
+
     problems: dict[str, Column] = {
-        "PatientID": _kind(doc, "$.PatientID") != "STRING",
+        "PatientID": kind("PatientID") != "STRING",
         "RegistrationID": F.col("RegistrationID").isNull(),
-        "Timestamp": (_kind(doc, "$.Timestamp") != "STRING") | F.col("Timestamp").isNull(),
-        **{m: ~_text_or_missing(doc, f"$.{m}") for m in MODES},
+        "Timestamp": (kind("Timestamp") != "STRING") | F.col("Timestamp").isNull(),
+        **{m: ~text_or_missing(m) for m in MODES},
     }
     for channel in RATE_CHANNELS:
-        block, values = f"$.{channel}", f"$.{channel}.Values"
-        numbers = F.try_variant_get(doc, values, "array<decimal(38,6)>")
-        fields[f"_{channel}"] = numbers
-        fields[f"{channel}_SignalQuality"] = F.try_variant_get(doc, f"{block}.SignalQuality", "string")
+        values, signal = f"$.{channel}.Values", f"{channel}.SignalQuality"
+        fields[f"_{channel}"] = F.try_variant_get(doc, values, "array<decimal(38,6)>")
+        fields[f"{channel}_SignalQuality"] = F.try_variant_get(doc, f"$.{signal}", "string")
+        fields[f"_present_{channel}"] = F.try_variant_get(doc, values, "variant").isNotNull()
+        kinds |= {channel: _kind(doc, f"$.{channel}"), signal: _kind(doc, f"$.{signal}")}
         given = F.col(f"_{channel}")
         readable = F.coalesce(F.forall(given, _whole), F.lit(False))
         fits = F.forall(F.slice(F.coalesce(given, F.array().cast("array<decimal(38,6)>")), 1, SAMPLES),
                         lambda x: x.isNull() | x.between(SHORT_LOW, SHORT_HIGH))
-        present = F.try_variant_get(doc, values, "variant").isNotNull()
-        block_kind = _kind(doc, block)
-        problems[f"{channel}.Values"] = present & ~readable
+        problems[f"{channel}.Values"] = F.col(f"_present_{channel}") & ~readable
         problems[f"{channel}.Values range"] = ~fits
-        problems[channel] = ~(block_kind.startswith("OBJECT") | (block_kind == "VOID"))
-        problems[f"{channel}.SignalQuality"] = ~_text_or_missing(doc, f"{block}.SignalQuality")
-    toco_kind = _kind(doc, "$.Toco")
-    problems["Toco"] = ~(toco_kind.startswith("OBJECT") | (toco_kind == "VOID"))
-    problems["Toco.Values"] = toco_kind.startswith("OBJECT") & (_kind(doc, "$.Toco.Values") != "STRING")
+        problems[channel] = ~object_or_missing(channel)
+        problems[signal] = ~text_or_missing(signal)
+    problems["Toco"] = ~object_or_missing("Toco")
+    problems["Toco.Values"] = kind("Toco").startswith("OBJECT") & (kind("Toco.Values") != "STRING")
     staged = objects.withColumn("_doc", F.try_parse_json("text"))
-    typed = staged.select("source", "record_index", "_doc", *[c.alias(n) for n, c in fields.items()])
+    helpers = [c.alias(f"_kind_{n}") for n, c in kinds.items()]
+    typed = staged.select("source", "record_index", "_doc", *[c.alias(n) for n, c in fields.items()], *helpers)
     found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(n)) for n, bad in problems.items()]))
-    return typed.withColumn("problems", found)
+    kept = ["source", "record_index", "_doc", *[n for n in fields if not n.startswith("_present_")]]
+    listed = typed.select(*kept, found.alias("_found"))
+    return listed.select(*kept, F.explode(F.array("_found")).alias("problems"))
 
 
 def flat_layout(parsed: DataFrame) -> DataFrame:
