@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from vitalspan.operators import metrics, prefilter, sessions, skew
+from vitalspan.operators import matching, metrics, prefilter, sessions, skew
 
 
 def plan(df) -> str:
@@ -114,3 +114,25 @@ def test_scores_of_a_large_table_use_one_range_per_65536(spark):
     total = sum(r["count"] for r in placed)
     assert total / metrics.RANGE_SCORES <= len(placed) <= 2 * total / metrics.RANGE_SCORES + 1
     assert max(r["count"] for r in placed) < total / 5
+
+
+def test_matching_never_merges_partitions_by_compressed_bytes(spark, no_broadcast):
+    """Merged partitions of narrow rows fill gigabytes in a sort buffer, so each exchange names its number."""
+    rows = spark.range(600).selectExpr("id AS subject", "id % 200 AS person", "date_add(date'2024-01-01', int(id % 3)) AS day")
+    born = "date_add(date'2024-01-01', int(id < 100)) AS birth_day"
+    registry = spark.range(201).selectExpr("id AS r", "least(id, 199) AS person", born)
+    recordings = matching.recording_map(skew.dealt(rows.union(rows), "subject"), "subject", "person", "day")
+    args = (registry, recordings, "person", "birth_day", "subject", "day")
+    found = {
+        "day": matching.matches_per_day(*args),
+        "row": matching.matches_per_row(*args),
+        "unique": matching.unique_matches(*args, unique_on="subject"),
+    }
+    for df in found.values():
+        text = plan(df)
+        assert "ENSURE_REQUIREMENTS" not in text and "REPARTITION_BY_NUM" in text
+        assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A person has recordings on three days; two of them fit the later birth day, one the earlier.
+    assert found["day"].count() == 301 and found["row"].where("n_matches = 2").count() == 100
+    # The registry rows 199 and 200 claim the same subject.
+    assert sorted(r["r"] for r in found["unique"].collect()) == list(range(100, 199))

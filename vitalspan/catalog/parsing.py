@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vitalspan.catalog.base import as_text, query, six, table
 from vitalspan.functions import dates, text
 from vitalspan.operators import matching, registry, reports
+from vitalspan.operators.skew import dealt
 from vitalspan.plans.matching import enriched_registry
 from vitalspan.sources.tables import spread_scan
 
@@ -443,7 +444,8 @@ def registry_match_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("BabyID"), F.col("l_shipdate").cast("date").alias("ctg_date")
     )
     person = text.person_key(text.digits_only(F.col("personnummer_mor"))).alias("PatientID")
-    dated = lines.join(owners.dropna(), "BabyID").select("BabyID", "ctg_date", person)
+    owned = dealt(lines, "BabyID").join(dealt(owners.dropna(), "BabyID"), "BabyID")
+    dated = owned.select("BabyID", "ctg_date", person)
     recordings = matching.recording_map(dated, "BabyID", "PatientID", "ctg_date")
     single = matching.unique_matches(people, recordings, "PatientID", "birth_day", "BabyID", "ctg_date")
     return as_text(single.select(*registry.REGISTRY_COLUMNS), *_TEXT_OUT)
