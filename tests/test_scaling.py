@@ -9,7 +9,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from vitalspan.operators import matching, metrics, prefilter, sessions, skew
+from vitalspan.catalog.parsing import RAW_REGISTRY
+from vitalspan.operators import matching, metrics, prefilter, registry, sessions, skew
 
 
 def plan(df) -> str:
@@ -136,3 +137,22 @@ def test_matching_never_merges_partitions_by_compressed_bytes(spark, no_broadcas
     assert found["day"].count() == 301 and found["row"].where("n_matches = 2").count() == 100
     # The registry rows 199 and 200 claim the same subject.
     assert sorted(r["r"] for r in found["unique"].collect()) == list(range(100, 199))
+
+
+def test_registry_cells_are_not_parsed_below_the_exchange(spark):
+    """A filter on parsed cells, pushed below, parses them twice and on the few splits of the file."""
+    cells = {n: "CAST(NULL AS STRING)" for n in RAW_REGISTRY} | {
+        "glopnr": "CAST(id AS STRING)",
+        "personnummer_mor": "IF(id = 1, NULL, IF(id = 2, '1980', '19800102-1234'))",
+        "forlossningsdatum_fv1": "IF(id = 3, '2021-02-30', '2021-02-03')",
+        "apgar_5_min": "IF(id = 4, ' ', '9,0')",
+        "moderns_diagnoser_rad": "IF(id = 5, 'o14-1 , O24', IF(id = 6, 'XO14,o140', NULL))",
+        "tobak_inskrivning": "IF(id = 5, '1 CIGG/dag', NULL)",
+        "intubation_min": "IF(id = 5, '1', ' ')",
+    }
+    raw = spark.range(7).repartition(2).selectExpr(*[f"{e} AS `{n}`" for n, e in cells.items()])
+    people = registry.parse_registry(raw)
+    text = people._jdf.queryExecution().optimizedPlan().toString()
+    assert "2021-02-30" not in text[text.index("Repartition") :]
+    found = {r["glopnr"]: (r["preeclampsia"], r["gestational_or_pregestational_diabetes"], r["is_smoker"], r["resuscitated"]) for r in people.collect()}
+    assert found == {"0": (False,) * 4, "5": (False, True, True, True), "6": (True, False, False, False)}

@@ -83,7 +83,14 @@ NUMERIC_COLUMNS = [
 
 
 def parse_registry(raw: DataFrame) -> DataFrame:
-    """Usable registry rows: twelve digits of person number, a birth day and a five-minute score."""
+    """Usable registry rows: twelve digits of person number, a birth day and a five-minute score.
+
+    Two levels of columns, each with array functions over cells of one kind: Spark compiles
+    such a level to many small methods.  Without them all levels become one generated
+    method, too long for the JVM's JIT, which is interpreted row by row.  The flag of usable
+    rows leaves through a generator of one row: a filter on it is not pushed below, where it
+    would parse the same cells again, on the few splits of a small file.
+    """
     c = F.col
     staged = raw.where(c("personnummer_mor").isNotNull()).withColumns(
         {
@@ -92,11 +99,13 @@ def parse_registry(raw: DataFrame) -> DataFrame:
             "_labour": text.text_date(c("etablerade_varkar_datum")),
             "_death": text.text_date(c("avled_datum")),
             "_sex": text.clean_text(c("kon")),
-            **{f"_{short}": text.code_list(c(column)) for short, column in CODE_SOURCES.items()},
+            "_codes": F.transform(F.array(*[c(column) for column in CODE_SOURCES.values()]), text.code_list),
             **{f"_n_{column}": text.comma_double(c(column)) for column in NUMERIC_COLUMNS},
         }
     )
 
+    staged = staged.withColumns({f"_{short}": F.get("_codes", F.lit(i)) for i, short in enumerate(CODE_SOURCES)})
+
     def whole(column: str) -> Column:
         return text.rounded_int(c(f"_n_{column}"))
 
@@ -127,7 +136,7 @@ def parse_registry(raw: DataFrame) -> DataFrame:
         "bmi_inskrivning": c("_n_bmi_inskrivning"),
         "previous_c_section": F.coalesce(text.yes_no(c("tidigare_sectio")), F.lit(False)),
         **{name: text.clean_text(c(name)) for name in SMOKING_COLUMNS},
-        "is_smoker": _any([text.mentions(c(name), SMOKING_FRAGMENT) for name in SMOKING_COLUMNS]),
+        "is_smoker": F.exists(F.array(*SMOKING_COLUMNS), lambda x: text.mentions(x, SMOKING_FRAGMENT)),
         "diabetes_mellitus": text.yes_no(c("diabetes_mellitus")),
         "child_sex": F.when(girl, "Flicka").when(c("_sex").isNotNull(), "Pojke"),
         "is_girl": girl,
@@ -138,10 +147,12 @@ def parse_registry(raw: DataFrame) -> DataFrame:
         "avled_datum": c("_death"),
         "died_after_days": dates.days_if_within(c("_birth"), c("_death"), *DEATH_WINDOW_DAYS),
         **{name: indicator(rules) for name, rules in CODE_RULES.items()},
-        "resuscitated": _any([text.clean_text(c(name)).isNotNull() for name in RESUSCITATION_COLUMNS]),
+        "resuscitated": F.exists(F.array(*RESUSCITATION_COLUMNS), lambda x: text.clean_text(x).isNotNull()),
     }
-    usable = staged.where((F.length("_digits") >= 12) & c("_birth").isNotNull())
-    return usable.select(*[column.alias(name) for name, column in typed.items()]).where(c("apgar5").isNotNull())
+    usable = (F.length("_digits") >= 12) & c("_birth").isNotNull() & whole("apgar_5_min").isNotNull()
+    flagged = staged.withColumn("_flag", usable)
+    rows = flagged.withColumn("_usable", F.explode(F.array("_flag"))).where("_usable")
+    return rows.select(*[column.alias(name) for name, column in typed.items()])
 
 
 def parse_neonatal(raw: DataFrame) -> DataFrame:
