@@ -18,9 +18,9 @@ shard; an empty table writes no shard and reads back as no rows.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vitalspan.llm.bpe import LATIN_END, TABLE_ENTRIES, UNSURE, codec
+from vitalspan.llm.bpe import UNSURE, byte_names, codec
 from vitalspan.llm.common import as_bytes, block_count, shared_folder, span_hashes, text_bytes
 
 SHARD = 1 << 20
@@ -39,7 +39,9 @@ LEAST_COUNT = 8
 MOST_PAIRS = 4096
 LEAST_GAIN = 0.02
 SLOT_BITS = 18
-TEXTS_AT_ONCE = 1024
+BYTES_AT_ONCE = 4 << 20
+WORDS_KEPT = 1 << 21
+TOKENS_KEPT = 1 << 24
 RANGE_BYTES = 24 << 20
 
 SCHEMA = (
@@ -83,8 +85,9 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         table[_slot(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
         at = table[_slot(key)]
         places = _chosen(np.flatnonzero((at >= 0) & (pairs[at] == key)))
-        used, new = np.unique(at[places], return_inverse=True)
-        symbols[places] = np.uint64(base + made) + new.astype(np.uint64)
+        taken = np.bincount(at[places], minlength=len(pairs)) > 0
+        used, new = np.flatnonzero(taken), (np.cumsum(taken) - 1).astype(np.uint64)
+        symbols[places] = np.uint64(base + made) + new[at[places]]
         keep = np.ones(len(symbols), bool)
         keep[places + 1] = False
         before = len(symbols)
@@ -109,18 +112,28 @@ def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """Tokens that the symbols stand for; every rule among them is expanded once."""
     symbols = symbols.astype(np.int64)
-    while len(symbols):
-        compound = symbols >= base
-        if not compound.any():
-            break
-        size = 1 + compound
-        out = np.repeat(symbols, size)
-        at = (np.cumsum(size) - size)[compound]
-        pair = rules[symbols[compound] - base]
+    compound = np.flatnonzero(symbols >= base)
+    if not len(compound):
+        return symbols.astype(np.uint32)
+    number = symbols[compound] - base
+    used = np.flatnonzero(np.bincount(number, minlength=len(rules)))
+    flat, owner = used + base, used
+    while (deep := flat >= base).any():
+        size = 1 + deep
+        out, owner = np.repeat(flat, size), np.repeat(owner, size)
+        at = (np.cumsum(size) - size)[deep]
+        pair = rules[flat[deep] - base]
         out[at], out[at + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
-    return symbols.astype(np.uint32)
+        flat = out
+    length = np.bincount(owner, minlength=len(rules))
+    # Symbols follow the expanded rules, so that one step takes both from one array.
+    size, low = np.ones(len(symbols), np.int64), np.arange(len(symbols)) + len(flat)
+    size[compound], low[compound] = length[number], (np.cumsum(length) - length)[number]
+    done = np.cumsum(size)
+    tokens = np.concatenate([flat, symbols]).astype(np.uint32)
+    return tokens[np.repeat(low - (done - size), size) + np.arange(done[-1])]
 
 
 def _symbols(shard: dict, low: int = 0, high: int | None = None) -> np.ndarray:
@@ -181,83 +194,193 @@ def shard_row(part: int, seq: int, doc_ids: list, sizes: list[int], ids: np.ndar
 class Encoder:
     """Tokens of whole texts by the tokenizers library.
 
-    Texts are cut where the tokenizer's pattern always cuts, before a space that a word
-    follows.  The pieces of many texts are hashed (64 bits) and numbered together, each
-    distinct piece is looked up once, and its tokens are laid out by array operations.  Two
-    generations of the table are kept: what was not met since the last change of generation
-    is forgotten.  Texts with doubled or odd white space, special tokens or NUL go piece by
-    piece.
+    The tokenizer's pattern is applied to many texts together by array operations: a word
+    begins at a space, or where the kind of character changes.  Pieces between spaces with bytes
+    for which this is not enough (quotes, control characters, beyond Latin) stay whole and
+    are cut by the pattern itself when they are new; texts with doubled or odd white space,
+    special tokens or NUL are cut into pieces one by one.  The words are hashed (64 bits) and
+    numbered, each that is new goes once through the library's model, and the tokens are laid
+    out by array operations.
     """
 
     def __init__(self, path: str):
         # Spark already runs one task per core; a thread pool in each would only wait.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.cutter = codec(path)
         self.plain = self.cutter.special_bytes
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.names = {b: name for name, b in byte_names().items()}
+        self.table = _Table()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit tokens of each text."""
         odd = [b"\0" in t or bool(UNSURE.search(t)) or any(s in t for s in self.plain) for t in texts]
         even = iter(self._even([t for t, o in zip(texts, odd, strict=True) if not o]))
-        return [b"".join(self._pieces(self.cutter.pieces(t))) if o else next(even) for t, o in zip(texts, odd, strict=True)]
+        rest = iter(self._odd([t for t, o in zip(texts, odd, strict=True) if o]))
+        return [next(rest if o else even) for o in odd]
 
     def _even(self, texts: list[bytes]) -> list[bytes]:
         if not texts:
             return []
-        raw = b"\0" + b"\0".join(texts)  # NUL starts a text, a space every further piece
+        raw = b"\0" + b"\0".join(texts)  # NUL stands before a text
         data = np.frombuffer(raw, np.uint8)
-        starts = np.flatnonzero((data == 32) | (data == 0))
+        starts, strange = _words(data)
         ends = np.append(starts[1:], len(data))
+        head = data[starts] == 0
+        size, tokens = self._laid(raw, data, starts, ends, strange, head)
+        done = np.cumsum(size)
+        cuts = [*(done - size)[head].tolist(), int(done[-1])]
+        return [tokens[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _odd(self, texts: list[bytes]) -> list[bytes]:
+        pieces = [self.cutter.pieces(t) for t in texts]
+        flat = [p for own in pieces for p in own]
+        if not flat:
+            return [b""] * len(texts)
+        raw = b"".join(flat)
+        ends = np.cumsum([len(p) for p in flat])
+        starts = np.concatenate([[0], ends[:-1]])
+        every = np.ones(len(flat), bool)
+        size, tokens = self._laid(raw, np.frombuffer(raw, np.uint8), starts, ends, every, ~every)
+        cuts = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, pieces)])].tolist()
+        return [tokens[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _laid(self, raw, data, starts, ends, strange, empty) -> tuple[np.ndarray, np.ndarray]:
+        """(number of tokens of each span, all tokens); those marked ``empty`` have none."""
         kinds, first, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        found = self._known(kinds.tolist(), raw, starts[first].tolist(), ends[first].tolist())
-        tokens = np.frombuffer(b"".join(found), "<u4")
-        size = np.array([len(f) for f in found], np.int64) // 4
-        low = np.cumsum(size) - size
-        own = size[number]
-        ends = np.cumsum(own)
-        laid = tokens[np.repeat(low[number] - (ends - own), own) + np.arange(ends[-1])]
-        heads = np.flatnonzero(data[starts] == 0)
-        cuts = [*(ends - own)[heads].tolist(), int(ends[-1])]
-        return [laid[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def _known(self, kinds: list[int], raw: bytes, starts: list[int], ends: list[int]) -> list[bytes]:
-        """Tokens of each distinct piece."""
-        if len(self.young) > TABLE_ENTRIES // 2:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        young.update({k: old[k] for k in kinds if k not in young and k in old})
-        new = [i for i, k in enumerate(kinds) if k not in young]
-        pieces = [raw[starts[i] : ends[i]].removeprefix(b"\0") for i in new]
-        for i, tokens in zip(new, self._pieces(pieces), strict=True):
-            young[kinds[i]] = tokens
-        return list(map(young.__getitem__, kinds))
-
-    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Tokens of pieces, word by word; special tokens are pieces of their own."""
-        if len(self.words) > TABLE_ENTRIES:
-            self.words = {}
-        words = self.words
-        cut = [[p.decode("utf-8")] if p in self.plain else self._cut(p.decode("utf-8")) for p in pieces]
-        new = list({w for own in cut for w in own if w not in words})
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            words[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [b"".join(map(words.__getitem__, own)) for own in cut]
-
-
-    def _cut(self, piece: str) -> list[str]:
-        """Words of a piece; letters, also with a stop or comma behind them, need no pattern."""
-        core = piece[1:] if piece[:1] == " " else piece
-        if core.isalpha() and max(core) < LATIN_END:
-            return [piece]
-        if core[-1:] in (".", ",") and core[:-1].isalpha() and max(core) < LATIN_END:
-            return [piece[:-1], core[-1]]
-        return self.cutter.split_words(piece)
+        new = self.table.unknown(kinds)
+        at = first[new]
+        self.table.add(kinds[new], self._learned(raw, starts[at].tolist(), ends[at].tolist(), strange[at].tolist()))
+        low, size = self.table.find(kinds)
+        size = np.where(empty, 0, size[number])
+        done = np.cumsum(size)
+        return size, self.table.tokens[np.repeat(low[number] - (done - size), size) + np.arange(done[-1])]
+
+    def _learned(self, raw: bytes, starts: list, ends: list, strange: list) -> list[list[int]]:
+        """Tokens of new spans."""
+        tokenize, spell = self.model.tokenize, self._spelled
+        text = raw.decode("latin-1") if starts else ""
+        # In the vocabulary every byte is one character; of the ASCII bytes in plain words only
+        # these do not stand for themselves.
+        for byte in b" \n\0":
+            text = text.replace(chr(byte), self.names[byte])
+        return [
+            self._piece(raw[a:b]) if odd
+            else [t.id for t in tokenize(text[a:b] if raw[a:b].isascii() else spell(raw[a:b]))]
+            for a, b, odd in zip(starts, ends, strange, strict=True)
+        ]
+
+    def _spelled(self, word: bytes) -> str:
+        return word.decode("latin-1").translate(self.names)
+
+    def _piece(self, piece: bytes) -> list[int]:
+        """Tokens of a piece, word by word; special tokens are pieces of their own."""
+        if piece in self.plain:
+            return [self.cutter.special[piece.decode("utf-8")]]
+        words = self.cutter.split_words(piece.decode("utf-8"))
+        return [t.id for w in words for t in self.model.tokenize(self._spelled(w.encode("utf-8")))]
+
+
+_LETTER, _DIGIT, _OTHER, _LINE, _SPACE, _NUL = range(6)
+_KIND = np.array(
+    [
+        _NUL if b == 0 else _LINE if b == 10 else _SPACE if b == 32 else _DIGIT if 48 <= b <= 57
+        else _LETTER if 65 <= b <= 90 or 97 <= b <= 122 else _OTHER
+        for b in range(256)
+    ],
+    np.uint8,
+)
+_STRANGE = np.array([b >= 127 or b == 39 or (b < 32 and b not in (0, 10)) for b in range(256)])
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of words, and which are whole pieces that the pattern has to cut.
+
+    NUL is a word; a space belongs to the word behind it, and never stands before white space or NUL.
+    """
+    kind, odd = _KIND[data], _STRANGE[data]
+    for at in _latin_letters(data):
+        kind[at], odd[at] = _LETTER, False
+    head = kind >= _SPACE
+    head[1:] |= kind[:-1] == _NUL
+    cut = head.copy()
+    cut[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+    odd[1:] |= (kind[1:] == _LINE) & (kind[:-1] == _LINE)
+    starts, odd = np.flatnonzero(cut), np.flatnonzero(odd)
+    first = head[starts]
+    if not len(odd):
+        return starts, np.zeros(len(starts), bool)
+    pieces = starts[first]
+    whole = np.zeros(len(pieces), bool)
+    whole[np.searchsorted(pieces, odd, "right") - 1] = True
+    whole = whole[np.cumsum(first) - 1]
+    keep = first | ~whole
+    return starts[keep], whole[keep]
+
+
+def _latin_letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second bytes of the letters U+00C0 to U+024F, which are all but two of these characters."""
+    low = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    low = low[low + 1 < len(data)]
+    first, second = data[low], data[low + 1]
+    letter = (second >= 0x80) & (second <= np.where(first == 0xC9, 0x8F, 0xBF))
+    letter &= (first != 0xC3) | ((second != 0x97) & (second != 0xB7))
+    return low[letter], low[letter] + 1
+
+
+class _Table:
+    """Tokens by hash, in sorted arrays; when there are too many, those met lately are kept."""
+
+    def __init__(self):
+        self.clock = 0
+        self._clear()
+
+    def _clear(self):
+        self.keys, self.low = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size, self.met = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.tokens = np.zeros(0, "<u4")
+
+    def unknown(self, kinds: np.ndarray) -> np.ndarray:
+        """Numbers of the kinds (sorted) that are not in the table."""
+        if len(self.keys) > WORDS_KEPT or len(self.tokens) > TOKENS_KEPT:
+            self._forget()
+        self.clock += 1
+        at, there = self._places(kinds)
+        self.met[at[there]] = self.clock
+        return np.flatnonzero(~there)
+
+    def _places(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, kinds)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == kinds[there]
+        return at, there
+
+    def add(self, kinds: np.ndarray, found: list[list[int]]):
+        if not found:
+            return
+        size = np.fromiter(map(len, found), np.int32, len(found))
+        new = np.fromiter(chain.from_iterable(found), "<u4", int(size.sum()))
+        low = len(self.tokens) + np.cumsum(size, dtype=np.int64) - size
+        self.tokens = np.concatenate([self.tokens, new])
+        at = np.searchsorted(self.keys, kinds)
+        self.keys, self.low = np.insert(self.keys, at, kinds), np.insert(self.low, at, low)
+        self.size, self.met = np.insert(self.size, at, size), np.insert(self.met, at, self.clock)
+
+    def find(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, kinds)
+        return self.low[at], self.size[at]
+
+    def _forget(self):
+        # Less than half stays, also where all were met at once.
+        kept = np.flatnonzero(self.met > np.median(self.met))
+        size = self.size[kept].astype(np.int64)
+        done = np.cumsum(size)
+        if not len(kept) or done[-1] > TOKENS_KEPT // 2:
+            self._clear()
+            return
+        self.tokens = self.tokens[np.repeat(self.low[kept] - (done - size), size) + np.arange(done[-1])]
+        self.keys, self.low, self.size, self.met = self.keys[kept], done - size, self.size[kept], self.met[kept]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -273,8 +396,7 @@ def _write_shards(path: str, end_id: int, shard: int):
         size = 0
         for batch in batches:
             found, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for a in range(0, len(texts), TEXTS_AT_ONCE):
-                few = slice(a, a + TEXTS_AT_ONCE)
+            for few in _portions(texts):
                 for doc, body in zip(found[few], _ENCODERS[path].encode(texts[few]), strict=True):
                     ids.append(doc)
                     bodies.append(body + end)
@@ -288,6 +410,18 @@ def _write_shards(path: str, end_id: int, shard: int):
     return write
 
 
+def _portions(texts: list[bytes]) -> Iterator[slice]:
+    """Texts of about ``BYTES_AT_ONCE``, or one longer one."""
+    low, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= BYTES_AT_ONCE:
+            yield slice(low, i + 1)
+            low, size = i + 1, 0
+    if low < len(texts):
+        yield slice(low, len(texts))
+
+
 def _batch(part: int, seq: int, ids: list, bodies: list[bytes]) -> pa.RecordBatch:
     row = shard_row(part, seq, ids, [len(b) // 4 for b in bodies], np.frombuffer(b"".join(bodies), "<u4"))
     kinds = {"part": pa.int32(), "seq": pa.int32(), "total": pa.int64(), "base": pa.int64(), "doc_ids": pa.list_(pa.int64())}
